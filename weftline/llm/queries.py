@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import simhash
+from weftline.llm import packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,18 @@ def _query(f):
     return f
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer file, by name; the package is installed wherever executors run."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("word_bpe_49k.json"))
+
+
 @_query
 def op8_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = simhash.simhash_components(spark.read.parquet(f"{d}/documents.parquet"))
