@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import packing, simhash
+from weftline.llm import chat, packing, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    return chat.digests(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{d}/conversations.parquet"))))
+
+
+SQL["op5_chat_formatting"] = chat.SQL
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("word_bpe_49k.json"))
@@ -33,3 +41,8 @@ def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = simhash.simhash_components(spark.read.parquet(f"{d}/documents.parquet"))
     return out.select("doc_id", simhash.hex16(out["fp"]).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenfile.round_trip(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
