@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
 
-BITS, DIM, EPOCHS, RATE = 17, 10, 6, 0.3
+BITS, DIM, EPOCHS, RATE = 17, 10, 8, 1.0
 #: Labelled documents of each class that a fit reads.
 PER_CLASS = 2000
 #: Code points hashed at once; bounds memory for very long texts.
