@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, packing, simhash, tokenfile
+from weftline.llm import chat, egojoin, langid, packing, quality, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return egojoin.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+@_query
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(_documents(spark, d))
+
+
+@_query
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity_scores(_documents(spark, d), _labels(spark, d))
+
+
 @_query
 def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{d}/conversations.parquet"))))
@@ -32,17 +55,22 @@ def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 SQL["op5_chat_formatting"] = chat.SQL
 
 
+@_query
+def op6_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_scores(_documents(spark, d), _labels(spark, d))
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(_documents(spark, d), vocabulary("word_bpe_49k.json"))
 
 
 @_query
 def op8_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    out = simhash.simhash_components(spark.read.parquet(f"{d}/documents.parquet"))
+    out = simhash.simhash_components(_documents(spark, d))
     return out.select("doc_id", simhash.hex16(out["fp"]).alias("fingerprint"), "component_id")
 
 
 @_query
 def op10_token_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenfile.round_trip(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
+    return tokenfile.round_trip(_documents(spark, d), vocabulary("byte_bpe_50k.json"))
