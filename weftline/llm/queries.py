@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, egojoin, langid, packing, quality, simhash, tokenfile, toxicity
+from weftline.llm import chat, egojoin, langid, linededup, packing, quality, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(_documents(spark, d), _labels(spark, d))
 
 
+@_query
+def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return linededup.line_classes(_documents(spark, d))
+
+
 @_query
 def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{d}/conversations.parquet"))))
