@@ -20,6 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_SHARED).rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all operators so far in this process. Only for callers that
+    have written every result they still need elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _roots:
+        p = jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 class Tables:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -28,8 +44,8 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{unique()}", 0
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -39,7 +55,6 @@ class Tables:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._weft_path = path
         return out
 

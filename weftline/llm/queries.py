@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import chat, egojoin, langid, linededup, packing, quality, simhash, tokenfile, toxicity
+from weftline.llm import chat, decontam, egojoin, langid, linededup, packing, quality, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,14 @@ def op8_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(out["fp"]).alias("fingerprint"), "component_id")
 
 
+@_query
+def op9_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.leaks(_documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+SQL["op9_benchmark_decontamination"] = decontam.SQL
+
+
 @_query
 def op10_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.round_trip(_documents(spark, d), vocabulary("byte_bpe_50k.json"))

@@ -174,5 +174,14 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 3, bucket: i
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """``docs`` with all its columns, and of each component only the document with the smallest id.
+
+    Rows without an id stay, as no result names them; rows that repeat the kept id stay each.
+    """
+    gone = simhash_components(docs, words, bits).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

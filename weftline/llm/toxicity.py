@@ -297,3 +297,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: in
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _clean(model_var, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_var.value
+        look = Lookup(model.vocabulary)
+        for b in batches:
+            yield b.filter(pa.array([model.score(*look.counts(t.as_py())) < 0.5 for t in b.column(at)], pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> DataFrame:
+    """``docs`` with all its columns, without the rows that ``toxicity_scores`` predicts toxic. No shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
+    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
