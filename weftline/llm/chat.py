@@ -77,7 +77,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), parts) if "text" in turns.columns else F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     n_att = F.size(F.filter("parts", is_attached))
-    order = ["turn", "role", F.col("parts")[0]["text"], F.xxhash64("parts")]
+    order = ["turn", "role", F.get(F.col("parts"), 0)["text"], F.xxhash64("parts")]
     w = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() if isinstance(c, str) else c.asc_nulls_first() for c in order])
     placed = rows.withColumn("k", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum(n_att).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     body, refs = _visit(F.col("parts"), F.col("before"))
