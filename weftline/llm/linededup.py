@@ -113,17 +113,18 @@ def _spans(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket for each line and band."""
+    """One 64-bit bucket for each line and band; its lowest 5 bits are the band's number."""
     v = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
         acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(sig), BANDS)).copy()
         for r in range(ROWS):
             acc = (acc ^ (acc >> np.uint64(29)) ^ v[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-    return (acc ^ (acc >> np.uint64(32))).view(np.int64)
+    mixed = (acc ^ (acc >> np.uint64(32))) & ~np.uint64(31)
+    return (mixed | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, b, key) of each line that this partition hasn't met yet."""
+    """(band, key) of each line that this partition hasn't met yet."""
     seen: set[int] = set()
     held: list[str] = []
     keys: list[int] = []
@@ -131,7 +132,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         bands = band_keys(signatures(held)).ravel()
-        return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(held))), pa.array(np.repeat(np.array(keys, np.int64), BANDS))], names=["band", "b", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(np.array(keys, np.int64), BANDS))], names=["band", "key"])
 
     for batch in batches:
         for t in batch.column(0):
@@ -153,24 +154,28 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, b, key) to buckets of two or more different keys, each key once, with their number."""
+    """(band, key) in order of band to buckets of two or more different keys, each key once, with
+    their number. Rows are sorted by band alone, which Spark does by radix; keys only here."""
     left: np.ndarray | None = None
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (rows[1:, [0, 2]] != rows[:-1, [0, 2]]).any(axis=1)]
-        rows = rows[new]
-        start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
+        rows = rows[~(new & np.r_[new[1:], True])]  # most rows are alone
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)]]
+        start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]][: len(rows)])
         n = np.diff(np.r_[start, len(rows)])
-        many = np.repeat(n, n) > 1
-        return pa.RecordBatch.from_arrays([pa.array(rows[many, 0]), pa.array(rows[many, 1].astype(np.int8)), pa.array(rows[many, 2]), pa.array(np.repeat(n, n)[many])], names=["band", "b", "key", "n"])
+        n = np.repeat(n, n)
+        many = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(rows[many, 0]), pa.array((rows[many, 0] & 31).astype(np.int8)), pa.array(rows[many, 1]), pa.array(n[many])], names=["band", "b", "key", "n"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
         if left is not None:
             rows = np.concatenate([left, rows])
-        start = int(np.flatnonzero(rows[:, 0] == rows[-1, 0])[0])
+        start = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
         left = rows[start:]
         if start:
             yield out(rows[:start])
@@ -318,8 +323,8 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     spark: SparkSession = docs.sparkSession
     tables = tables or Tables(spark, "linededup")
     texts_in = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    banded = texts_in.select("text").mapInArrow(_bands, "band long, b byte, key long")
-    live = tables.write(banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_live, "band long, b byte, key long, n long"), "buckets")
+    banded = texts_in.select("text").mapInArrow(_bands, "band long, key long")
+    live = tables.write(banded.repartition("band").sortWithinPartitions("band").mapInArrow(_live, "band long, b byte, key long, n long"), "buckets")
     known = spark.sparkContext.broadcast(key_filter(live))
     lines = tables.write(texts_in.mapInArrow(_positions(known), "doc_id long, line_no int, key long, text string"), "lines")
     texts = tables.write(lines.where("text is not null").join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "texts")
