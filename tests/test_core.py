@@ -160,6 +160,31 @@ def test_opaque(engine):
     assert ds.filter_py(lambda s: len(s) > 1).collect() == ["ab"]
 
 
+def test_union_and_partition_by(engine):
+    a, b = engine.range(3, 2), engine.parallelize([2, 9], 1)
+    both = a.union(b)
+    assert sorted(both.collect()) == [0, 1, 2, 2, 9]
+    dealt = both.map_pair(lambda v: v % 2, lambda v: v).partition_by(3)
+    assert dealt.df.rdd.getNumPartitions() == 3
+    out = dealt.reduce_by_key("sum")
+    assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert dict(out.collect()) == {0: 4, 1: 10}
+    assert sorted(a.map_pair(lambda v: v).union(b.map_pair(lambda v: v)).keys().collect()) == [0, 1, 2, 2, 9]
+    assert {r.slice: r.n for r in engine.range(7, 3).count_by_slice().collect()} == {0: 3, 1: 2, 2: 2}
+
+
+def test_json_to_text(engine, spark, tmp_path):
+    import gzip
+
+    from weftline.sources.files import json_to_text
+
+    with gzip.open(tmp_path / "r.json.gz", "wt") as f:
+        f.write('{"t": "a b"}\n{"u": 1}\n{"t": "b"}\n')
+    json_to_text(spark, str(tmp_path / "r.json.gz"), "t", str(tmp_path / "out"), 2)
+    words = workloads.word_count(engine.read_lines(str(tmp_path / "out")))
+    assert dict(words.collect()) == {"a": 1, "b": 2, "": 1}
+
+
 def test_workloads(engine, spark):
     assert sorted(workloads.basics(engine).collect()) == [12, 16]
     assert sorted(workloads.nested_flat_map(engine.range(4, 8)).collect()) == [(0, 40), (1, 8)]

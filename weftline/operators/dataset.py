@@ -78,6 +78,10 @@ class Dataset:
     def distinct(self) -> Dataset:
         return Dataset(self.df.select("value").distinct())
 
+    def union(self, other: Dataset) -> Dataset:
+        """Both datasets' values, repeats included; partitions are taken over as they are, without a shuffle."""
+        return Dataset(self.df.select("value").unionByName(other.df.select("value")))
+
     # -- persistence
 
     def cache(self) -> Dataset:
@@ -144,6 +148,12 @@ class Dataset:
             raise ValueError("reduce_strict of an empty dataset")
         return r
 
+    def count_by_slice(self) -> DataFrame:
+        """``slice`` and ``n``: rows of each slice, or of each partition where there is no layout; those
+        without rows don't appear."""
+        own = F.col(SLICE) if SLICE in self.df.columns else F.spark_partition_id()
+        return self.df.groupBy(own.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
     def run_job(self, func: Callable[[Iterator[Any]], Any], partitions: Sequence[int] | None = None) -> list[Any]:
         """``func`` over each slice's values; results in the order of ``partitions``.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import aggregators, opaque
 from weftline.operators.dataset import Dataset
+from weftline.operators.partitioning import check_slices
 
 
 class PairDataset:
@@ -48,8 +49,15 @@ class PairDataset:
     def values(self) -> Dataset:
         return Dataset(self.df.select("value"))
 
+    def union(self, other: PairDataset) -> PairDataset:
+        return PairDataset(self.df.unionByName(other.df))
+
     # -- wide
 
+    def partition_by(self, num_partitions: int) -> PairDataset:
+        """Deal rows by the hash of their key; by-key operators that follow don't shuffle again."""
+        return PairDataset(self.df.repartition(check_slices(num_partitions), "key"))
+
     def reduce_by_key(self, f: aggregators.Algebraic | str | Callable[[Column, Column], Column], num_partitions: int | None = None) -> PairDataset:
         """``f``: a named combiner (native partial aggregation), or an associative and commutative
         Column function, which folds each key's values by way of salted partial folds."""

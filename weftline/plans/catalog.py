@@ -255,3 +255,33 @@ def join_by_key(spark, d):
     left = e.read_parquet(f"{d}/customer.parquet").map_pair(lambda v: v["c_custkey"], lambda v: v["c_mktsegment"])
     right = e.read_parquet(f"{d}/orders.parquet", "o_custkey").map_pair(lambda v: v).count_by_key()
     return left.join(right).select(F.col("key").alias("custkey"), F.col("left").alias("seg"), F.col("right").alias("n"))
+
+
+@_query("SELECT key, count(*) AS n FROM (SELECT c_nationkey AS key FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY key")
+def union_counts(spark, d):
+    """Beyond the core: two datasets' partitions side by side, then a keyed count."""
+    e = _engine(spark)
+    both = e.read_parquet(f"{d}/customer.parquet", "c_nationkey").union(e.read_parquet(f"{d}/supplier.parquet", "s_nationkey"))
+    return _renamed(both.map_pair(lambda v: v).count_by_key(), "key", "n")
+
+
+@_query("SELECT o_custkey AS custkey, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS total, count(*) AS n FROM orders GROUP BY 1")
+def partition_by(spark, d):
+    """One exchange on the key; both the sum and the count use its partitioning."""
+    rows = _engine(spark).read_parquet(f"{d}/orders.parquet")
+    dealt = rows.map_pair(lambda v: v["o_custkey"], lambda v: F.floor(v["o_totalprice"]).cast("bigint")).partition_by(8)
+    out = dealt.aggregate_by_key(F.struct(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n")))
+    return out.df.select(F.col("key").alias("custkey"), F.col("value.s").alias("total"), F.col("value.n").alias("n"))
+
+
+@_query(f"SELECT slice, count(*) AS n FROM {_SLICED.format(n=5)} GROUP BY slice")
+def count_by_slice(spark, d):
+    return _order_slices(spark, d, 5).count_by_slice()
+
+
+@_query("SELECT o_orderpriority AS priority, sum(length(o_orderstatus))::BIGINT AS n FROM orders WHERE o_custkey % 2 = 1 GROUP BY 1")
+def filter_pairs(spark, d):
+    """Pairs stay pairs through ``filter``."""
+    rows = _engine(spark).read_parquet(f"{d}/orders.parquet")
+    pairs = rows.map_pair(lambda v: v["o_orderpriority"], lambda v: F.struct(v["o_custkey"].alias("c"), F.length(v["o_orderstatus"]).cast("bigint").alias("n")))
+    return _renamed(pairs.filter(lambda _, v: v["c"] % 2 == 1).map_values(lambda v: v["n"]).reduce_by_key("sum"), "priority", "n")

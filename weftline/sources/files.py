@@ -27,3 +27,11 @@ def write_text(dataset: Dataset, path: str, files: int | None = None) -> None:
     """One value a line, in ``files`` files if that is given."""
     df = dataset.df.select(F.col("value").cast("string"))
     (df if files is None else df.repartition(files)).write.mode("overwrite").text(path, lineSep="\n")
+
+
+def json_to_text(spark: SparkSession, source: str, field: str, target: str, files: int = 80) -> None:
+    """One field of (compressed) JSON lines as that many text files: the preparation of word-count inputs.
+
+    Line feeds inside a value make lines of their own when the files are read.
+    """
+    write_text(json_field(spark, source, field), target, files)
