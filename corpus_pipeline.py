@@ -14,32 +14,40 @@ from weftline.llm import common, decontam, linededup, packing, simhash, toxicity
 from weftline.llm.queries import vocabulary
 
 
+def _begin(spark: SparkSession) -> None:
+    """Called by each stage: the stage before is written by now, so what it kept besides goes; and
+    batches to Python stay small next to the memory of an executor."""
+    common.sweep(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of this data."""
+    _begin(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat or nearly repeat, the first stays; documents left without lines go."""
-    common.sweep(spark)  # the stage before is written by now
+    _begin(spark)
     return linededup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates by SimHash one document stays."""
-    common.sweep(spark)
+    _begin(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    common.sweep(spark)
+    _begin(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048."""
-    common.sweep(spark)
+    _begin(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -77,3 +78,16 @@ def test_distant_blocks_are_skipped():
     j.run(0, 2048, 0, 2048)
     assert j.products == 2 * (4 + 6)  # of 36 leaf pairs
     assert (s.links == 1023).all()
+
+
+def test_equals_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    rows = rows_of(5, 90)
+    c.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [r[:3] for r in rows] + [(5000, None, 1), (5001, [0.0] * 12, 1), (5002, [1.0] * 12, None)])
+    more = [(5000, None, 1, "x"), (5001, [0.0] * 12, 1, "x"), (5002, [1.0] * 12, None, "x")]
+    got = egojoin.near_duplicates(spark.createDataFrame(rows + more, SCHEMA))
+    r = c.execute(egojoin.SQL)
+    assert [x[0] for x in r.description] == got.columns
+    want = sorted(r.fetchall())
+    assert sorted(map(tuple, got.collect())) == want and any(w[1] for w in want)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,44 @@ def sweep(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes of texts that one Arrow batch to or from Python holds, more or less.
+BATCH_BYTES = 4 << 20
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back: Spark keeps Python workers for the next tasks, of whatever operator."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function whose memory is given back when its task ends, and whose results leave in
+    batches of about ``BATCH_BYTES``."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in run(batches):
+                n = max(1, b.num_rows * BATCH_BYTES // max(BATCH_BYTES, b.nbytes))
+                for i in range(0, max(1, b.num_rows), n):
+                    yield b.slice(i, n)
+        finally:
+            b = None
+            release()
+
+    return own
+
+
 class Tables:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -113,7 +154,7 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     gathered in one row. Only nodes that have an edge are returned.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    cur = tables.write(e.mapInArrow(_contract, "a long, b long").distinct(), "forest")
+    cur = tables.write(e.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
     last = None
     for _ in range(rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components, spanning_forest
+from weftline.llm.common import Tables, components, spanning_forest, tidy
 
 #: Leading axes of the grid, vectors of an interval, vectors of a leaf of the recursion.
 AXES, INTERVAL, LEAF = 6, 4096, 256
@@ -75,7 +75,7 @@ def _moments(d: int):
 def principal_axes(reps: DataFrame, d: int) -> np.ndarray:
     """The leading axes of all vectors of length ``d``; only d * (d + 1) / 2 sums reach the driver."""
     s = np.zeros((d, d))
-    for r in reps.select("v").mapInArrow(_moments(d), "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+    for r in reps.select("v").mapInArrow(tidy(_moments(d)), "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         s[r["at"] // d, r["at"] % d] = s[r["at"] % d, r["at"] // d] = r.s
     _, vectors = np.linalg.eigh(s)
     return vectors[:, ::-1][:, :AXES]
@@ -237,12 +237,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     grid = Grid(principal_axes(reps, lengths.d), eps)
     kind = "rep long, label string, d int, n long, v array<double>"
     cells = [f"c{k}" for k in range(AXES)]
-    placed = reps.select("rep", "label", "d", "n", "v").mapInArrow(_cells(grid), kind + "".join(f", {c} int" for c in cells))
+    placed = reps.select("rep", "label", "d", "n", "v").mapInArrow(tidy(_cells(grid)), kind + "".join(f", {c} int" for c in cells))
     key = ["label", "d", *cells, F.xxhash64("rep")]  # the hash cuts a crowded cell
     parts = max(1, placed.rdd.getNumPartitions())
     ordered = placed.repartitionByRange(parts, *key).sortWithinPartitions(*key).select("rep", "label", "d", "n", "v")
     axes = [f"p{k}" for k in range(AXES)]
-    seqs = tables.write(ordered.mapInArrow(_intervals(grid, interval), f"{kind}, seq long" + "".join(f", {p} double" for p in axes)), "sequence")
+    seqs = tables.write(ordered.mapInArrow(tidy(_intervals(grid, interval)), f"{kind}, seq long" + "".join(f", {p} double" for p in axes)), "sequence")
     boxes = seqs.groupBy("label", "d", "seq").agg(*[f(p).alias(f"{s}{p}") for p in axes for f, s in ((F.min, "lo_"), (F.max, "hi_"))])
     boxes = tables.write(boxes, "boxes")
     cell = lambda c: F.floor(F.col(c) / eps)
@@ -254,7 +254,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     pairs = tables.write(met.select(F.col("seq").alias("a"), "b").distinct(), "pairs")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("seq"))
     dealt = seqs.drop("label", "d").join(sides, "seq").repartition("a", "b").sortWithinPartitions("a", "b", "seq")
-    joined = tables.write(dealt.mapInArrow(_pairs(least, eps), "a long, links long, b long"), "joined")
+    joined = tables.write(dealt.mapInArrow(tidy(_pairs(least, eps)), "a long, links long, b long"), "joined")
     links = joined.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = tables.write(components(joined.where("b is not null").select("a", "b"), tables), "components").withColumnRenamed("node", "rep")
     known = reps.select("rep", "n", "h", "label", "v").join(links, "rep", "left").join(comp, "rep", "left")
@@ -262,3 +262,18 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     found = marked.where("ok").join(known, ["h", "label", "v"]).select("vec_id", "n_links", "component_id")
     alone = marked.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same in SQL, by comparing all pairs of a label.
+SQL = """WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a"""

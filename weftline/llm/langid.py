@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
+from weftline.llm.common import tidy
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 WIDEST = max(WIDTHS)
@@ -197,5 +198,5 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2, per_class: int = PE
     held out and is never learnt from; other columns aren't read.
     """
     net = docs.sparkSession.sparkContext.broadcast(fit_network(docs, parts, part, per_class))
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(net), "doc_id long, lang_pred string, score double")
+    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_predict(net)), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "lang_pred", "score")

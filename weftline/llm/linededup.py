@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components
+from weftline.llm.common import Tables, components, tidy
 
 SHINGLE, LEAST = 5, 0.8
 #: Two lines at 0.8 share no bucket once in 110, at 0.85 once in 2,300, at 0.9 once in 450,000;
@@ -200,7 +200,7 @@ def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def key_filter(live: DataFrame) -> np.ndarray:
     """A filter over the live keys, at most ``FILTER_BITS`` bits whatever their number."""
-    got = live.select("key").mapInArrow(_filter_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = live.select("key").mapInArrow(tidy(_filter_bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, "<i8")
     words[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return words.view(np.uint8)
@@ -239,6 +239,12 @@ def grow(keys: np.ndarray, comps: np.ndarray, lines: list[str], least: float) ->
     """Verified links that connect the lines of a bucket as all pairs of at least ``least`` would.
     Lines of one component already (``comps``) aren't compared."""
     sets = [shingles(x) for x in lines]
+    if len(sets) == 2:
+        a, b = len(sets[0]), len(sets[1])
+        if min(a, b) < least * max(a, b):
+            return []
+        both = a + b - len(np.union1d(*sets))
+        return [(int(keys[0]), int(keys[1]))] if both >= least * (a + b - both) - 1e-9 else []
     size = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
@@ -303,12 +309,19 @@ def _verify(least: float):
 
 
 def _edges(buckets: DataFrame, texts: DataFrame, least: float, bucket: int) -> DataFrame:
-    """Verified links of ``buckets`` (band, key, comp, n); those of many lines are cut in blocks."""
-    cut = buckets.withColumn("blocks", F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("long"))
+    """Verified links of ``buckets`` (band, key, comp, n); those of many lines are cut in blocks.
+
+    Near copies meet in most bands, so buckets of the very same lines (equal sums of two hashes
+    of their keys) are verified once.
+    """
+    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "key"), 8)).alias(f"s{i}") for i in (1, 2)]
+    same = buckets.groupBy("band").agg(*sums, F.count(F.lit(1)).alias("m"))
+    once = same.groupBy("s1", "s2", "m").agg(F.min("band").alias("band")).select("band")
+    cut = buckets.join(once, "band").withColumn("blocks", F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("long"))
     placed = cut.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = placed.select("band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "key", "comp").join(texts, "key")
     rows = dealt.select("band", "i", "j", "key", "comp", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return rows.mapInArrow(_verify(least), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(least)), "a long, b long")
 
 
 def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, tables: Tables | None = None) -> DataFrame:
@@ -323,10 +336,10 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     spark: SparkSession = docs.sparkSession
     tables = tables or Tables(spark, "linededup")
     texts_in = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    banded = texts_in.select("text").mapInArrow(_bands, "band long, key long")
-    live = tables.write(banded.repartition("band").sortWithinPartitions("band").mapInArrow(_live, "band long, b byte, key long, n long"), "buckets")
+    banded = texts_in.select("text").mapInArrow(tidy(_bands), "band long, key long")
+    live = tables.write(banded.repartition("band").sortWithinPartitions("band").mapInArrow(tidy(_live), "band long, b byte, key long, n long"), "buckets")
     known = spark.sparkContext.broadcast(key_filter(live))
-    lines = tables.write(texts_in.mapInArrow(_positions(known), "doc_id long, line_no int, key long, text string"), "lines")
+    lines = tables.write(texts_in.mapInArrow(tidy(_positions(known)), "doc_id long, line_no int, key long, text string"), "lines")
     texts = tables.write(lines.where("text is not null").join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "texts")
     first = tables.write(_edges(live.where(F.col("b") < FIRST_BANDS).select("band", "key", F.col("key").alias("comp"), "n"), texts, least, bucket), "edges")
     comp = tables.write(components(first, tables), "first")
@@ -370,4 +383,4 @@ def dedup_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     gone = line_classes(docs, least, tables=tables).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_gone_id")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")), "left").select(*[docs[c] for c in docs.columns], "_gone")
-    return joined.mapInArrow(_without(docs.columns, to_arrow_schema(docs.schema)), docs.schema)
+    return joined.mapInArrow(tidy(_without(docs.columns, to_arrow_schema(docs.schema))), docs.schema)

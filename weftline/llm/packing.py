@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables
+from weftline.llm.common import Tables, tidy
 from weftline.llm.tokens import encoder
 
 #: Partitions (or groups) whose underfull bins meet in one group of the next round.
@@ -56,7 +56,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Token pieces of whole texts (null: empty) with the end id; only longer documents are cut."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(path, capacity, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_pieces(path, capacity, with_ids)), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

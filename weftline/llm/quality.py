@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
+from weftline.llm.common import tidy
 
 BITS, DIM, EPOCHS, RATE = 17, 10, 8, 1.0
 #: Labelled documents of each class that a fit reads.
@@ -191,5 +192,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int
     sample, counts = sup.labelled_texts(docs, labels, "quality", parts, part, per_class)
     y = np.array([s[2] for s in sample])
     model = docs.sparkSession.sparkContext.broadcast(fit([s[1] for s in sample], y, sup.prior_shift(counts, y) if len(y) else 0.0))
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -37,6 +37,9 @@ def op1_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return egojoin.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+SQL["op1_embedding_near_dedup"] = egojoin.SQL
+
+
 @_query
 def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(_documents(spark, d))

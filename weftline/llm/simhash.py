@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components
+from weftline.llm.common import Tables, components, tidy
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -59,7 +59,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): one row for each input row; fp holds the 64 bits in a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long")
 
 
 def _grow(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -116,7 +116,7 @@ def _entries(bits: int, n_keys: int):
 def _linked(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """Verified edges among rows that agree in ``keys`` (all longs), which no group of unbounded size does."""
     dealt = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_entries(bits, len(keys)), "a long, b long")
+    return dealt.mapInArrow(tidy(_entries(bits, len(keys))), "a long, b long")
 
 
 def _segment(fp: Column, seg: Column) -> Column:

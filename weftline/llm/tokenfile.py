@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables
+from weftline.llm.common import Tables, tidy
 from weftline.llm.tokens import encoder
 
 MAGIC, VERSION = b"WEFTIDS1", 1
@@ -210,7 +210,7 @@ def write_shards(docs: DataFrame, path: str, out: str, shards: int | None = None
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = shards or max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return ordered.mapInArrow(_write(path, out), "shard long, n_docs long, n_tokens long, first_key long, last_key long")
+    return ordered.mapInArrow(tidy(_write(path, out)), "shard long, n_docs long, n_tokens long, first_key long, last_key long")
 
 
 def _read(out: str):
@@ -243,7 +243,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame
     lines = sorted((r.shard, r.n_tokens) for r in manifest.select("shard", "n_tokens").collect())
     before = np.concatenate(([0], np.cumsum([n for _, n in lines]))).tolist()
     placed = spark.createDataFrame([(s, int(b)) for (s, _), b in zip(lines, before, strict=False)], "shard long, before long")
-    return placed.repartition(max(1, len(lines)), "shard").mapInArrow(_read(out), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, len(lines)), "shard").mapInArrow(tidy(_read(out)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
+from weftline.llm.common import tidy
 
 #: Labelled documents of each class that a fit reads, terms kept, neighbours asked for.
 PER_CLASS, TERMS, NEIGHBOURS = 2000, 8192, 15
@@ -275,7 +276,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
     bags = [term_counts(s[1]) for s in sample]
     vocabulary = {t: i for i, t in enumerate(choose_terms(bags, y, limit))} if len(y) and y.min() != y.max() else {}
     var = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(var), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_frequencies(var)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n_docs = docs.count()
     df = np.zeros(len(vocabulary))
     if vocabulary:
@@ -295,7 +296,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: in
     without any).
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -312,4 +313,4 @@ def _clean(model_var, at: int):
 def drop_toxic(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` with all its columns, without the rows that ``toxicity_scores`` predicts toxic. No shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
-    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidy(_clean(model, docs.columns.index("text"))), docs.schema)
