@@ -32,6 +32,8 @@ BANDS, ROWS = 20, 7
 FIRST_BANDS = 3
 #: Lines of a bucket that are verified together.
 BUCKET = 1024
+#: Lines of a bucket up to which their shingle sets are compared two by two.
+FEW = 16
 #: Bits of the filter that spares texts without candidates the shuffle. It is of fixed size: beyond
 #: a few million candidate lines it lets more lines through, which the join then drops.
 FILTER_BITS = 1 << 25
@@ -59,8 +61,16 @@ def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
 
 def shingles(line: str) -> np.ndarray:
     """Distinct hashes (64 bits) of a line's shingles; a shorter line is its only shingle."""
-    cp = np.frombuffer(line.ljust(SHINGLE, "\0").encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.unique(_hashes(cp))
+    h = _hashes(np.frombuffer(line.ljust(SHINGLE, "\0").encode("utf-32-le", "surrogatepass"), "<u4"))
+    h.sort()  # np.unique would build a hash table, which takes three times as long
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two sets share."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _hashes(cp: np.ndarray) -> np.ndarray:
@@ -239,35 +249,35 @@ def grow(keys: np.ndarray, comps: np.ndarray, lines: list[str], least: float) ->
     """Verified links that connect the lines of a bucket as all pairs of at least ``least`` would.
     Lines of one component already (``comps``) aren't compared."""
     sets = [shingles(x) for x in lines]
-    if len(sets) == 2:
-        a, b = len(sets[0]), len(sets[1])
-        if min(a, b) < least * max(a, b):
-            return []
-        both = a + b - len(np.union1d(*sets))
-        return [(int(keys[0]), int(keys[1]))] if both >= least * (a + b - both) - 1e-9 else []
     size = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(size) - size
-    mark = np.zeros(int(ids.max()) + 1, bool)
+    many = len(sets) > FEW  # then shingles are numbered, and a line's are marked for all others at once
+    if many:
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        mark = np.zeros(int(ids.max()) + 1, bool)
+
+    def shared(x: int, at: np.ndarray) -> np.ndarray:
+        if not many:
+            return np.array([in_common(sets[x], sets[i]) for i in at.tolist()])
+        own, n = ids[starts[x] : starts[x] + size[x]], size[at]
+        mark[own] = True
+        pos = np.repeat(starts[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.add.reduceat(mark[ids[pos]].astype(np.int64), np.cumsum(n) - n)
+        mark[own] = False
+        return both
+
     rest, edges = np.arange(len(keys)), []
     while len(rest) > 1:
         front = [int(rest[0])]
         rest = rest[1:]
         while front and len(rest):
             x = front.pop()
-            joined = comps[rest] == comps[x]
-            fit = ~joined & (np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x]))
-            near = joined
+            near = comps[rest] == comps[x]
+            fit = ~near & (np.minimum(size[rest], size[x]) >= least * np.maximum(size[rest], size[x]))
             if fit.any():
-                own = ids[starts[x] : starts[x] + size[x]]
-                mark[own] = True
                 at = rest[fit]
-                n = size[at]
-                pos = np.repeat(starts[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                both = np.add.reduceat(mark[ids[pos]].astype(np.int64), np.cumsum(n) - n)
-                mark[own] = False
-                ok = both >= least * (n + size[x] - both) - 1e-9
-                near = joined.copy()
+                both = shared(x, at)
+                ok = both >= least * (size[at] + size[x] - both) - 1e-9
                 near[np.flatnonzero(fit)[ok]] = True
                 edges += [(int(keys[x]), int(keys[i])) for i in at[ok].tolist()]
             if near.any():
