@@ -357,9 +357,14 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     open_ = later.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
     second = tables.write(_edges(later.join(open_, "band"), texts, least, bucket), "edges")
     roots = tables.write(components(first.unionByName(second), tables), "roots").withColumnRenamed("node", "key")
-    classed = lines.select("doc_id", "line_no", "key").join(roots, "key", "left").select("doc_id", "line_no", F.coalesce("root", "key").alias("cls"))
-    firsts = classed.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cls", "f")
-    out = classed.join(firsts, "cls", "left")
+    # places are summed up by line before they are by class, and each join reads written tables, so that
+    # a line or a class with many places is split between tasks
+    places = lines.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
+    rooted = places.join(roots, "key", "left").where("n > 1 or root is not null")
+    many = tables.write(rooted.select("key", F.coalesce("root", "key").alias("cls"), "f"), "many")
+    firsts = tables.write(many.groupBy("cls").agg(F.min("f").alias("f")), "firsts")
+    heads = tables.write(many.select("key", "cls").join(firsts, "cls").select("key", "f"), "heads")
+    out = lines.select("doc_id", "line_no", "key").join(heads, "key", "left")
     mine = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     head = F.when(F.col("f").isNotNull(), F.struct(F.col("f.doc_id").alias("d"), F.col("f.line_no").alias("l"))).otherwise(mine)
     return out.select("doc_id", "line_no", head["d"].alias("first_doc_id"), head["l"].alias("first_line_no"), head.eqNullSafe(mine).alias("kept"))
