@@ -39,6 +39,9 @@ FEW = 16
 FILTER_BITS = 1 << 25
 #: Shingles hashed at once, and keys a task remembers to skip repeats.
 BLOCK, SEEN = 1 << 16, 400_000
+#: Bytes of a (band, key) pair, pairs that a task packs at once, input that makes one group of bands, and
+#: the most bits of a group's number: a million groups, of some 100 MB each when the input has 100 TB.
+PAIR, PACKED, GROUP_BYTES, MOST_BITS = 16, 1 << 19, 1 << 20, 20
 STRIP = " \t\r\f\v"
 
 _rng = np.random.default_rng(20)
@@ -133,42 +136,77 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return (mixed | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key) of each line that this partition hasn't met yet."""
-    seen: set[int] = set()
-    held: list[str] = []
-    keys: list[int] = []
-    size = 0
+def bucket_bits(docs: DataFrame) -> int:
+    """Leading bits of a band's key that deal it to a group of bands; groups of the size that about
+    ``GROUP_BYTES`` of input make."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_BITS, max(0, (size // GROUP_BYTES).bit_length()))
 
-    def out() -> pa.RecordBatch:
-        bands = band_keys(signatures(held)).ravel()
-        return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(np.array(keys, np.int64), BANDS))], names=["band", "key"])
 
-    for batch in batches:
-        for t in batch.column(0):
-            for _, line in lines_of(t.as_py()):
-                k = key_of(line)
-                if k in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(k)
-                held.append(line)
-                keys.append(k)
-                size += len(line)
-                if size >= 2 * BLOCK:
-                    yield out()
-                    held, keys, size = [], [], 0
-    if held:
-        yield out()
+def _bands(bits: int):
+    """(grp, data): pairs (band, key) of each line that this partition hasn't met yet, packed by group of
+    bands, so that the shuffle moves few rows of many pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[str] = []
+        keys: list[int] = []
+        size, n = 0, 0
+        got: list[np.ndarray] = []
+
+        def sign() -> None:
+            nonlocal held, keys, size, n
+            bands = band_keys(signatures(held)).ravel()
+            got.append(np.stack([bands, np.repeat(np.array(keys, np.int64), BANDS)], axis=1))
+            n += len(bands)
+            held, keys, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal got, n
+            pairs = np.concatenate(got)
+            got, n = [], 0
+            grp = pairs[:, 0].view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(pairs), np.uint64)
+            order = np.argsort(grp)
+            pairs, grp = pairs[order], grp[order]
+            cut = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            ends = np.r_[cut, len(pairs)].astype(np.int32) * np.int32(PAIR)
+            data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+            return pa.RecordBatch.from_arrays([pa.array(grp[cut].astype(np.int32)), data], names=["grp", "data"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                for _, line in lines_of(t.as_py()):
+                    k = key_of(line)
+                    if k in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(k)
+                    held.append(line)
+                    keys.append(k)
+                    size += len(line)
+                    if size >= 2 * BLOCK:
+                        sign()
+                        if n >= PACKED:
+                            yield out()
+        if held:
+            sign()
+        if n:
+            yield out()
+
+    return run
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key) in order of band to buckets of two or more different keys, each key once, with
-    their number. Rows are sorted by band alone, which Spark does by radix; keys only here."""
-    left: np.ndarray | None = None
+    """(band, b, key, n) of buckets of two or more different keys, each key once, with their number.
+    Rows come sorted by group; one group's pairs are held at a time."""
+    held: list[np.ndarray] = []
+    last = None
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        held.clear()
+        rows = rows[np.argsort(rows[:, 0])]
         new = np.r_[True, rows[1:, 0] != rows[:-1, 0]]
         rows = rows[~(new & np.r_[new[1:], True])]  # most rows are alone
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
@@ -180,17 +218,13 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(rows[many, 0]), pa.array((rows[many, 0] & 31).astype(np.int8)), pa.array(rows[many, 1]), pa.array(n[many])], names=["band", "b", "key", "n"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-        if left is not None:
-            rows = np.concatenate([left, rows])
-        start = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        left = rows[start:]
-        if start:
-            yield out(rows[:start])
-    if left is not None:
-        yield out(left)
+        for grp, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if grp != last and held:
+                yield out()
+            last = grp
+            held.append(np.frombuffer(data.as_py(), np.int64).reshape(-1, 2))
+    if held:
+        yield out()
 
 
 def _filter_words(keys: np.ndarray) -> np.ndarray:
@@ -346,8 +380,8 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     spark: SparkSession = docs.sparkSession
     tables = tables or Tables(spark, "linededup")
     texts_in = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    banded = texts_in.select("text").mapInArrow(tidy(_bands), "band long, key long")
-    live = tables.write(banded.repartition("band").sortWithinPartitions("band").mapInArrow(tidy(_live), "band long, b byte, key long, n long"), "buckets")
+    banded = texts_in.select("text").mapInArrow(tidy(_bands(bucket_bits(texts_in))), "grp int, data binary")
+    live = tables.write(banded.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(_live), "band long, b byte, key long, n long"), "buckets")
     known = spark.sparkContext.broadcast(key_filter(live))
     lines = tables.write(texts_in.mapInArrow(tidy(_positions(known)), "doc_id long, line_no int, key long, text string"), "lines")
     texts = tables.write(lines.where("text is not null").join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "texts")
