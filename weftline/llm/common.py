@@ -144,6 +144,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the ``m`` that ``least`` (a, m) has for a."""
+    flip = F.bitwise_not("a").alias("_na")
+    return edges.select("a", "b", flip).join(least.select(flip, "m"), "_na").select("a", "b", "m")
+
+
 def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: longs): (node, root), root the smallest node.
 
@@ -151,7 +157,9 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     then large-star and small-star rounds (each node's neighbours are re-hung under the
     smallest one) run until nothing changes. Every round writes its edges to the shared
     folder. Joins are on a node's minimum, so a node with many neighbours is never
-    gathered in one row. Only nodes that have an edge are returned.
+    gathered in one row; and they are on the complement of its number, which no aggregate
+    is dealt by, so both sides are dealt for the join alone and adaptive execution may split
+    such a node between tasks. Only nodes that have an edge are returned.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     cur = tables.write(e.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
@@ -159,11 +167,10 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small_min, "a")
-        small = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b")))
+        small = _with_least(large, small_min).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b")))
         new = tables.write(small.where("a != b").distinct(), "star")
         tables.drop(cur)
         cur = new
