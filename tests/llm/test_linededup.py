@@ -77,3 +77,15 @@ def test_odd_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", None), ("2", ""), ("3", " \n\t"), ("None", "a line that repeats itself"), ("5", "own text\n"), ("6", "x")], key=lambda r: (r[0], r[1] or ""))
     assert out[0].key == "clash"
     assert linededup.line_classes(df.limit(0)).count() == 0 and linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_buckets_of_many_lines_are_compared_without_overflow(spark):
+    """Sums of the hashes of so many keys don't fit a long; equal buckets are still verified once."""
+    n = 400_000
+    keys = spark.range(n).select(F.col("id").alias("key"))
+    buckets = keys.crossJoin(spark.createDataFrame([(0,), (32,)], "band long")).select("band", "key", F.col("key").alias("comp"), F.lit(2).cast("long").alias("n"))
+    texts = spark.createDataFrame([(k, f"boilerplate that has another number in each document: {k}") for k in (3, 7)], "key long, text string")
+    got = linededup._edges(buckets, texts, linededup.LEAST, linededup.BUCKET).collect()
+    assert [sorted((r.a, r.b)) for r in got] == [[3, 7]]
+    fewer = buckets.where("band = 0 or key != 5")
+    assert len(linededup._edges(fewer, texts, linededup.LEAST, linededup.BUCKET).collect()) == 2

@@ -355,10 +355,10 @@ def _verify(least: float):
 def _edges(buckets: DataFrame, texts: DataFrame, least: float, bucket: int) -> DataFrame:
     """Verified links of ``buckets`` (band, key, comp, n); those of many lines are cut in blocks.
 
-    Near copies meet in most bands, so buckets of the very same lines (equal sums of two hashes
-    of their keys) are verified once.
+    Near copies meet in most bands, so buckets of the very same lines (equal XORs of two hashes
+    of their keys, which can't overflow as sums do) are verified once.
     """
-    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "key"), 8)).alias(f"s{i}") for i in (1, 2)]
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"s{i}") for i in (1, 2)]
     same = buckets.groupBy("band").agg(*sums, F.count(F.lit(1)).alias("m"))
     once = same.groupBy("s1", "s2", "m").agg(F.min("band").alias("band")).select("band")
     cut = buckets.join(once, "band").withColumn("blocks", F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("long"))
