@@ -86,3 +86,29 @@ def test_native(spark):
     for x in (df, decontam.windows(decontam.templates(docs, "doc_id"), "doc_id")):
         plan = x._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+TOM = "Tom has 5 apples. Tom gives 2 apples to Ben. How many apples does Tom have left now?"
+MARK = 'Mark has a garden with flowers. Mark planted 10 roses there.\n"Lucy wants 8 of them," said Mark. Mark sold 8 of them to Lucy at noon.'
+
+
+def test_names_that_begin_a_sentence(spark):
+    """Other names at the start of texts, sentences, lines and quotes; one that stands for two; titles."""
+    anna = TOM.replace("Tom", "Anna").replace("Ben", "Carl").replace("5", "7").replace("2", "3")
+    docs = [
+        (1, anna),
+        (2, "Before it. " + MARK.replace("Mark", "Peter").replace("Lucy", "Sophie").replace("8", "12")),
+        (3, TOM.replace("Tom has", "Anna has").replace("Tom gives", "Carl gives").replace("does Tom", "does Ruth").replace("Ben", "Max")),
+        (4, "Quite Another Book Title Of Words In Capitals"),
+        (5, TOM),
+    ]
+    items = [(1, TOM), (2, MARK), (3, "Some Title Of The Same Kind In Capitals"), (4, "Hello there")]
+    assert found(spark, docs, items) == {(1, 1): (1.0, True), (2, 2): (1.0, True), (5, 1): (1.0, False)}
+
+
+def test_loose_windows_take_nothing_away(spark):
+    """A sentence begins otherwise, at odds with an equal beginning; the sure windows still count."""
+    rest = " ".join(f"word{chr(97 + i)}" for i in range(26)) + " 5 " + " ".join(f"more{chr(97 + i)}" for i in range(26))
+    item = f"The boy went out early today. {rest}. The boy came home"
+    doc = item.replace("The boy went", "Some boy went").replace(" 5 ", " 6 ")
+    assert found(spark, [(1, doc)], [(9, item)])[1, 9][1]

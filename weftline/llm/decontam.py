@@ -6,6 +6,10 @@ words of the benchmark are hash-joined with those of the documents. What stood i
 placeholders has to be consistent: along one alignment of item and document, each value of
 the item stands for one value of the document. So a question with other numbers and names
 is found, and windows that only look alike don't count.
+
+A name may also begin a text or sentence or follow a quote, where any word has a capital. So
+windows stand a third time with every capitalised word as a placeholder (loose); these count
+where they agree with all other windows of the alignment, and never take one away.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ BROADCAST_WINDOWS = 2_000_000
 UNITS = "mm|cm|m|km|in|inch|inches|ft|foot|feet|yard|yards|mile|miles|mg|g|kg|gram|grams|lb|lbs|oz|ton|tons|ml|l|liter|liters|litre|litres|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|usd|eur|percent|degree|degrees|mph|kmh|kb|mb|gb|tb|w|kw|v|hz|khz|mhz|ghz"
 NUM, UNIT, NAME = "zznum", "zzunit", "zzname"
 _JOINER = "§"  # stands between the digits of one number
+#: Other words than placeholders that a loose window holds at least, so that titles don't match each other.
+LITERALS = 2
+_CAPITALISED = f"(?<![\\p{{L}}\\p{{N}}{_JOINER}])\\p{{Lu}}\\p{{L}}*\\p{{Ll}}\\p{{L}}*"
 
 
 def _spaced_numbers(t: Column) -> Column:
@@ -44,15 +51,16 @@ def _template(words: Column) -> Column:
 
 
 def templates(rows: DataFrame, key: str) -> DataFrame:
-    """``key`` and three aligned word arrays: raw, plain (numbers and units replaced), named (names too,
-    null where there are none). Texts without a word are left out."""
+    """``key`` and four aligned word arrays: raw, plain (numbers and units replaced), named (names too,
+    null where there are none) and loose (all capitalised words too, likewise), and whether plain has
+    placeholders. Texts without a word are left out."""
     t = rows.select(key, _spaced_numbers(F.col("text").cast("string")).alias("t"))
     t = t.withColumn("named", F.when(F.col("t").rlike("[\\p{Ll}0-9,;] \\p{Lu}\\p{Ll}"), _named(F.col("t"))))
-    t = t.select(key, _words(F.col("t")).alias("raw"), _words(F.col("named")).alias("named")).where("raw != ''")
-    t = t.select(key, "raw", _template(F.col("raw")).alias("plain"), _template(F.col("named")).alias("named"))
+    t = t.withColumn("loose", F.when(F.col("t").rlike(_CAPITALISED), F.regexp_replace("t", _CAPITALISED, NAME)))
+    t = t.select(key, _words(F.col("t")).alias("raw"), _words(F.col("named")).alias("named"), _words(F.col("loose")).alias("loose")).where("raw != ''")
+    t = t.select(key, "raw", _template(F.col("raw")).alias("plain"), _template(F.col("named")).alias("named"), _template(F.col("loose")).alias("loose"))
     split = lambda c: F.split(c, " ")
-    has_slots = F.col("named").isNotNull() | (F.col("plain") != F.col("raw"))
-    return t.select(key, F.when(has_slots, split("raw")).alias("raw"), split("plain").alias("plain"), split("named").alias("named"))
+    return t.select(key, split("raw").alias("raw"), split("plain").alias("plain"), split("named").alias("named"), split("loose").alias("loose"), (F.col("plain") != F.col("raw")).alias("has_slots"))
 
 
 def _is_slot(w: Column) -> Column:
@@ -60,9 +68,9 @@ def _is_slot(w: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each window: ``key``, h (hash of its template), pos and slots (word number in the
-    window and raw value of each placeholder; null without). Windows with names stand beside
-    the same ones without. A shorter text is one window."""
+    """One row for each window: ``key``, h (hash of its template), pos, slots (word number in the
+    window and raw value of each placeholder; null without) and loose. Windows with names stand
+    beside the same ones without. A shorter text is one window, never a loose one."""
     n = F.size("plain")
     at = F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0)))
 
@@ -71,12 +79,24 @@ def windows(rows: DataFrame, key: str) -> DataFrame:
 
     def slots(words: Column, i: Column) -> Column:
         got = F.filter(F.array(*[F.when(_is_slot(F.get(words, i + k)), F.concat(F.lit(f"{k} "), F.get(F.col("raw"), i + k))) for k in range(WORDS)]), lambda s: s.isNotNull())
-        return F.when(F.col("raw").isNotNull(), F.when(F.size(got) > 0, got))
-
-    of = lambda words: F.transform(at, lambda i: F.struct(window(words, i).alias("h"), i.alias("pos"), slots(words, i).alias("slots")))
-    named = F.filter(of(F.col("named")), lambda w: F.exists(F.slice(F.col("named"), w["pos"] + 1, F.lit(WORDS)), lambda x: x == NAME))
-    both = F.when(F.col("named").isNotNull(), F.concat(of(F.col("plain")), named)).otherwise(of(F.col("plain")))
-    return rows.select(key, F.explode(both).alias("w")).select(key, "w.h", "w.pos", "w.slots")
+        return F.when(F.size(got) > 0, got)
+
+    def of(words: Column, where: Column, has_slots: bool, loose: bool) -> Column:
+        return F.transform(where, lambda i: F.struct(window(words, i).alias("h"), i.alias("pos"), (slots(words, i) if has_slots else F.lit(None).cast("array<string>")).alias("slots"), F.lit(loose).alias("loose")))
+
+    plain, named, loose = F.col("plain"), F.col("named"), F.col("loose")
+    none = F.array().cast("array<int>")
+    with_name = F.filter(at, lambda i: F.exists(F.slice(named, i + 1, F.lit(WORDS)), lambda x: x == NAME))
+    strict = F.coalesce(named, plain)
+    new = F.filter(F.sequence(F.lit(0), n - 1), lambda p: (F.get(loose, p) == NAME) & (F.get(strict, p) != NAME))
+    around = F.array_distinct(F.flatten(F.transform(new, lambda p: F.sequence(F.greatest(p - (WORDS - 1), F.lit(0)), F.least(p, n - WORDS)))))
+    literals = lambda i: sum((F.when(_is_slot(F.get(loose, i + k)), 0).otherwise(1) for k in range(WORDS)), F.lit(0))
+    has_loose = loose.isNotNull() & (n >= WORDS)
+    more = of(loose, F.when(has_loose, F.filter(around, lambda i: literals(i) >= LITERALS)).otherwise(none), True, True)
+    # has_slots is asked once a row: inside the windows' lambda both texts would be compared for each window
+    first = F.when(F.col("has_slots"), of(plain, at, True, False)).otherwise(of(plain, at, False, False))
+    all_ = F.concat(first, of(named, F.when(named.isNotNull(), with_name).otherwise(none), True, False), more)
+    return rows.select(key, F.explode(all_).alias("w")).select(key, "w.h", "w.pos", "w.slots", "w.loose")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -90,19 +110,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """
     tables = Tables(docs.sparkSession, "decontam")
     items = benchmark.select(F.col("item_id").cast("long"), "text")
-    theirs = tables.write(windows(templates(items, "item_id"), "item_id").select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct(), "windows")
+    theirs = tables.write(windows(templates(items, "item_id"), "item_id").select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose")).distinct(), "windows")
     sizes = theirs.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
     mine = windows(templates(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"), "doc_id")
     small = theirs.count() <= BROADCAST_WINDOWS
     met = mine.join(F.broadcast(theirs) if small else theirs, "h")
-    met = tables.write(met.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", "slots"), "matches")
+    met = tables.write(met.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", "slots", (F.col("item_loose") | F.col("loose")).alias("loose")), "matches")
     plain = met.where("item_slots is null and slots is null").select("doc_id", "item_id", "item_pos", F.lit(False).alias("changed"))
     slotted = met.where("item_slots is not null and slots is not null")
     same_words = F.transform("slots", lambda s: F.substring_index(s, " ", 1)) == F.transform("item_slots", lambda s: F.substring_index(s, " ", 1))
     value = lambda s: F.substr(s, F.lit(3))
-    slotted = slotted.where(same_words).select("doc_id", "item_id", "item_pos", "shift", F.zip_with("item_slots", "slots", lambda a, b: F.struct(value(a).alias("a"), value(b).alias("b"))).alias("pairs"))
-    along = slotted.groupBy("doc_id", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("p"), F.collect_set("item_pos").alias("at"))
-    sound = along.where(F.size("p") == F.size(F.array_distinct(F.col("p.a")))).select("doc_id", "item_id", F.explode("at").alias("item_pos"), F.exists("p", lambda x: x["a"] != x["b"]).alias("changed"))
+    slotted = slotted.where(same_words).select("doc_id", "item_id", "item_pos", "shift", "loose", F.zip_with("item_slots", "slots", lambda a, b: F.struct(value(a).alias("a"), value(b).alias("b"))).alias("pairs"))
+    pairs_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    sure = lambda c: F.when(~F.col("loose"), F.col(c))
+    along = slotted.groupBy("doc_id", "item_id", "shift").agg(pairs_of(F.col("pairs")).alias("p"), F.collect_set("item_pos").alias("at"), pairs_of(sure("pairs")).alias("sure_p"), F.collect_set(sure("item_pos")).alias("sure_at"))
+    agree = lambda p: F.size(p) == F.size(F.array_distinct(F.col(f"{p}.a")))
+    choice = F.when(agree("p"), F.struct("p", "at")).when(agree("sure_p"), F.struct(F.col("sure_p").alias("p"), F.col("sure_at").alias("at")))
+    best = along.select("doc_id", "item_id", choice.alias("c")).where("c is not null")
+    sound = best.select("doc_id", "item_id", F.explode("c.at").alias("item_pos"), F.exists("c.p", lambda x: x["a"] != x["b"]).alias("changed"))
     found = plain.unionByName(sound).groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.max("changed").alias("changed"))
     joined = found.join(F.broadcast(sizes) if small else sizes, found["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
     out = joined.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
