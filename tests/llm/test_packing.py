@@ -81,15 +81,29 @@ def test_odd_rows(spark):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
-PIECES = ["word", "Ünïcode", "naïve", " ", "  ", "\n", "\t", "don't", "3.14", "x\x1cy", "\x00", "<|endoftext|>", "日本", "…!", "\u0301", "İ", "ß", ".", "a.", "ab,", "\xa0", "'s"]
+PIECES = ["word", "Ünïcode", "naïve", " ", "  ", "\n", "\t", "don't", "3.14", "x\x1cy", "\x00", "<|endoftext|>", "日本", "…!", "\u0301", "İ", "ß", ".", "a.", "ab,", "a##", "\x00#", "<|startoftext|>", "<|", "\xa0", "'s"]
 
 
 @given(st.lists(st.sampled_from(PIECES), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_cached_tokens_are_the_librarys(parts):
     text = "".join(parts)
-    for enc in ENCODERS:
-        assert enc.ids(text).tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+    for enc, lib in ENCODERS:
+        assert enc.ids(text).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
-ENCODERS = [Encoder(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+def test_added_tokens_are_the_librarys():
+    for text in ("hello <|endoftext|> world", "<|startoftext|>a", "a<|ENDOFTEXT|>", "<|endoftext|>", "<| endoftext|>", "x <|endoftext|><|endoftext|>\n"):
+        for enc, lib in ENCODERS:
+            assert enc.ids(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_generations_of_cached_words():
+    enc = Encoder(PATH, words=3)
+    lib = Tokenizer.from_file(PATH)
+    for text in ("one two three four five six", "one two seven", "one two eight nine", "one! two!! ten"):
+        assert enc.ids(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+#: With tokenizers of their own to compare with.
+ENCODERS = [(Encoder(public_tokenizers.path(n)), Tokenizer.from_file(public_tokenizers.path(n))) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]

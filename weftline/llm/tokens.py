@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Cached words for each Python worker (about 200 bytes each); the cache starts anew beyond.
-WORDS = 500_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+#: Cached words of a generation, of which a Python worker holds two (about 200 bytes a word).
+WORDS = 120_000
+_PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+_MARKS = re.compile(r"\0([.,!?;:#$%&*]+)")
 _ODD = re.compile(r"[\s\x00\x1c-\x1f]")
 
 
@@ -30,6 +32,7 @@ def _byte_alphabet() -> list[str]:
 
 
 _ALPHABET = dict(enumerate(_byte_alphabet()))
+_SPACE = _ALPHABET[32]
 
 
 def _stand_in(s: str) -> str:
@@ -41,30 +44,45 @@ class _Odd(Exception):
 
 
 class Encoder:
-    """ids of whole texts for one vocabulary file; ``ids(text)`` is an array of ``dtype``."""
+    """ids of whole texts for one vocabulary file; ``ids(text)`` is an array of ``dtype``.
+
+    Strings of added tokens become their ids, as the library has it; a text that holds one goes
+    through the library as a whole.
+    """
 
     def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_word = self.lib.normalizer is not None  # white space is dropped, words end in a mark
-        self.dtype = np.dtype("<u2") if self.lib.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        wide = self.lib.get_vocab_size(True) > 1 << 16
+        self.dtype, self.kind = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
+        self.added = [x.content.lower() for x in self.lib.get_added_tokens_decoder().values()]
+        self.starts = tuple({x[:2] for x in self.added})
         self.model, self.limit = self.lib.model, words
         self.words = _Words(self)
 
     def library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        return np.array([t.id for p in pieces for t in self.model.tokenize(_stand_in(p))], self.dtype).tobytes()
+    def piece(self, p: str) -> bytes:
+        """ids of one pre-token, given in the vocabulary's stand-ins of bytes."""
+        return array(self.kind, [t.id for t in self.model.tokenize(p)]).tobytes()
 
     def word(self, w: str) -> bytes:
         """``w``: a word that stood after a space; a leading NUL marks one that didn't."""
+        if m := _PLAIN.fullmatch(w):
+            glued, core, marks = m.groups()
+            if marks:  # letters and the marks after them are pieces of their own
+                return self.words[glued + core] + self.words["\0" + marks]
+            if self.by_word:
+                core = core.lower()
+            own = core if core.isascii() else _stand_in(core)
+            return self.piece(own if glued or self.by_word else _SPACE + own)
+        if m := _MARKS.fullmatch(w):
+            return self.piece(m[1])
         if self.by_word:
-            if m := _PLAIN.fullmatch(w):
-                return self._pieces([x.lower() for x in m.groups() if x])
             return self.library(w)
         if w == "\n":
             return self.library(w)
@@ -72,20 +90,19 @@ class Encoder:
         body = w[1:] if glued else w
         if not body or _ODD.search(body):
             raise _Odd
-        space = "" if glued else " "
-        if m := _PLAIN.fullmatch(body):
-            return self._pieces([space + m[1], m[2]] if m[2] else [space + m[1]])
-        return self.library(space + body)
+        return self.library(body if glued else " " + body)
 
     def raw(self, text: str | None) -> bytes:
         """ids as little-endian bytes of ``dtype``."""
         if not text:
             return b""
         if len(self.words) > self.limit:
-            self.words.clear()
+            self.words.turn()
+        if any(x in text for x in self.starts) and any(x in text.lower() for x in self.added):
+            return self.library(text)
         get = self.words.__getitem__
         if self.by_word:
-            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            if "\0" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
                 return self.library(text)
             return b"".join(map(get, text.split()))
         if "\0" in text:
@@ -100,12 +117,21 @@ class Encoder:
 
 
 class _Words(dict):
+    """Words of two generations: when the young one is full it becomes the old one, and words met
+    again move to the young one. So words that come once don't push common ones out."""
+
     def __init__(self, owner: Encoder):
         super().__init__()
-        self.owner = owner
+        self.owner, self.old = owner, {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, w: str) -> bytes:
-        got = self.owner.word(w)
+        got = self.old.get(w)
+        if got is None:
+            got = self.owner.word(w)
         if len(w) < 64:  # long junk isn't kept
             self[w] = got
         return got
