@@ -1,5 +1,7 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,14 +87,58 @@ def test_block_max_index_is_exact():
 
 def test_evidence():
     texts = [("you utter moron", 1), ("what a moron you are", 1), ("a lovely day", 0), ("lovely weather this day", 0)] * 12
-    bags = [toxicity.term_counts(t) for t, _ in texts]
-    y = np.array([v for _, v in texts])
-    vocabulary = {t: i for i, t in enumerate(toxicity.choose_terms(bags, y))}
-    look = toxicity.Lookup(vocabulary)
-    model = toxicity.fit([(i, *look.counts(t), v) for i, (t, v) in enumerate(texts)], vocabulary, np.ones(len(vocabulary)), {0: 24, 1: 24})
+    bags = [toxicity.hashed_counts(t) for t, _ in texts]
+    vocabulary = np.unique(np.concatenate([b[0] for b in bags]))
+    model = toxicity.fit([(i, np.searchsorted(vocabulary, b[0]), b[1], b[2], v) for i, (b, (_, v)) in enumerate(zip(bags, texts, strict=True))], vocabulary, np.ones(len(vocabulary)), {0: 24, 1: 24})
     e = model.evidence("such a moron")
-    assert e and all(x["label"] == 1 and "moron" in x["terms"] for x in e)
-    assert model.score(*look.counts("such a moron")) > 0.5 > model.score(*look.counts("lovely"))
+    assert e and all(x["label"] == 1 and "moron" in x["words"] for x in e)
+    assert model.score("such a moron") > 0.5 > model.score("lovely")
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Whole documents: words, weights, dense cosines, votes and evidence made here; the calibration's coefficients are the model's."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_model(docs, labels)
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    word = re.compile(r"[^\W\d_]+")
+    bags = {d: Counter(word.findall(t.lower())) for d, t in rows}
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    train = sorted(y)
+    words = sorted({w for d in train for w in bags[d]})
+    place = {w: i for i, w in enumerate(words)}
+    has = np.array([[w in bags[d] for w in words] for d in train])
+    df = np.array([sum(w in b for b in bags.values()) for w in words])
+    label = np.array([y[d] for d in train])
+    a, b, n1, n0 = has[label == 1].sum(0), has[label == 0].sum(0), label.sum(), (1 - label).sum()
+    chi = len(train) * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n0 + n1 - a - b) * n0 * n1, 1e-9)
+    keep = np.where((chi >= 15.1) & (a + b >= 3), 0.05 + 0.95 * np.minimum(1, np.sqrt(chi / 100)), 0.05)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1) * keep
+
+    def vector(d):
+        v = np.zeros(len(words))
+        for w, n in bags[d].items():
+            if w in place:
+                v[place[w]] = (1 + np.log(n)) * idf[place[w]]
+        return v, np.sqrt(v @ v)
+
+    dense = np.array([vector(d)[0] / max(1e-300, vector(d)[1]) for d in train])
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    weight = {c: sum(label == c) / sum(label == c) for c in (0, 1)}
+    none = 0
+    for d, text in rows:
+        v, norm = vector(d)
+        cos = dense @ (v / norm) if norm else np.zeros(len(train))
+        best = sorted((i for i in range(len(train)) if cos[i] > 1e-12), key=lambda i: -cos[i])[:15]
+        if not best:
+            none += 1
+            continue
+        c, lab = cos[best], label[best]
+        vote = c * c / (1.0001 - np.minimum(c, 1)) ** 0.5 * np.array([weight[x] for x in lab])
+        share = vote[lab == 1].sum() / vote.sum()
+        m = np.array([1, share, (c[lab == 1].sum() - c[lab == 0].sum()) / 15, share * np.log1p(norm), share * norm / np.sqrt(len(text.split()) + 1)])
+        assert abs(sup.sigmoid(m @ model.coef) - got[d].score) < 1e-6
+        assert np.allclose([e.cosine for e in got[d].evidence], c[:3]) and all(y[e.doc_id] == e.label for e in got[d].evidence)
+    assert none <= 0.05 * len(rows)
 
 
 def test_features_dont_depend_on_neighbours():
@@ -110,7 +156,47 @@ def test_long_texts_in_runs(monkeypatch):
     model = quality.Model(np.random.default_rng(1).normal(size=1 << quality.BITS), 0.0)
     whole = model.scores([text])[0]
     monkeypatch.setattr(quality, "BLOCK", 500)
-    assert abs(model.scores([text])[0] - whole) < 2e-3  # only pairs across runs differ
+    assert abs(model.scores([text])[0] - whole) < 1e-12
+    monkeypatch.setattr(quality, "BLOCK", 1 << 19)
+    u, n = quality.bag(text)
+    monkeypatch.setattr(quality, "BLOCK", 90)
+    cut = quality.bag(text + "  \n " * 60)
+    assert (cut[0] == u).all() and (cut[1] == n).all()
+
+
+def naive_features(text):
+    """Words, pairs and n-grams one at a time, hashed with Python's integers."""
+    m, p, mix = (1 << 64) - 1, 0x100000001B3, 0x9E3779B97F4A7C15
+    code = lambda ch: ((1 if ch.isspace() else ord(ch) + 2) * mix) & m
+    poly = lambda s: sum(code(ch) * pow(p, k, 1 << 64) for k, ch in enumerate(s)) & m
+    words = [poly(w) for w in text.split()]
+    padded = f" {text} "
+    out = [w + 1 for w in words] + [b - a + 2 for a, b in zip(words[:-1], words[1:], strict=True)]
+    for k in range(len(padded) - 2):
+        if not padded[k + 1].isspace():
+            out.append(poly(padded[k : k + 3]) + 3)
+            if k + 4 <= len(padded) and not padded[k + 2].isspace():
+                out.append(poly(padded[k : k + 4]) + 4)
+    return sorted((((h & m) ^ ((h & m) >> 29)) * mix & m) >> (64 - quality.BITS) for h in out)
+
+
+def test_features_equal_naive_ones():
+    for text in ("one two one", "a", "ab é\n𝄞 xyz  wörd", "", " ", "\tx y"):
+        cp = np.concatenate([quality._END, quality.code_points(text), quality._END])
+        assert sorted(quality.features(cp)[0].tolist()) == naive_features(text)
+
+
+def test_convolution_equals_naive_loops():
+    rng = np.random.default_rng(4)
+    f = len(langid.WIDTHS) * langid.FILTERS
+    net = langid.Network(["a", "b"], rng.normal(size=(256, langid.EMBED)), rng.normal(size=(langid.WIDEST * langid.EMBED, f)) * langid._mask(), rng.normal(size=f), rng.normal(size=(f, 2)), rng.normal(size=2))
+    net.embed[0] = 0
+    raw = bytes(rng.integers(1, 256, 70).tolist())
+    w = langid.windows(raw)[0].tolist() + [0] * langid.WIDEST
+    best = [max(sum(net.embed[w[at + j], e] * net.conv[j * langid.EMBED + e, k] for j in range(langid.WIDTHS[k // langid.FILTERS]) for e in range(langid.EMBED)) for at in range(langid.WINDOW)) for k in range(f)]
+    o = np.maximum(np.array(best) + net.conv_bias, 0) @ net.out + net.out_bias
+    want = np.exp(o - o.max()) / np.exp(o - o.max()).sum()
+    assert np.allclose(net.probabilities(langid.windows(raw))[0], want)
 
 
 def test_windows_hold_every_byte():

@@ -22,9 +22,9 @@ from weftline.llm.common import tidy
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 WIDEST = max(WIDTHS)
-#: Labelled documents of each language that a fit reads, and windows of each.
-PER_CLASS, PER_DOC = 500, 4
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+#: Labelled documents of each language that a fit reads, in all their windows.
+PER_CLASS = 500
+EPOCHS, BATCH, RATE = 3, 64, 0.004
 #: Windows in one matrix product; bounds memory.
 AT_ONCE = 256
 UNKNOWN = "und"
@@ -115,7 +115,7 @@ def _mask() -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 3) -> Network:
-    """Train on texts and their languages; windows start anywhere, and some are cut short."""
+    """Train on all windows of texts and their languages; each text's first one also cut short."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     mask = _mask()
@@ -127,14 +127,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Network:
         raw = (t or "").encode("utf-8", "surrogatepass")
         if not raw:
             continue
-        for k in range(min(PER_DOC, -(-len(raw) // WINDOW))):
-            a = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            n = WINDOW if k % 2 else int(rng.integers(24, WINDOW + 1))
-            rows.append(windows(raw[a : a + n])[0])
-            ys.append(names.index(lang))
+        own = [windows(raw), windows(raw[: int(rng.integers(24, WINDOW + 1))])]
+        rows += own
+        ys += [names.index(lang)] * sum(map(len, own))
     if not rows or len(names) < 2:
         return net
-    x, y = np.stack(rows), np.array(ys)
+    x, y = np.concatenate(rows), np.array(ys)
     params = [net.embed, net.conv, net.conv_bias, net.out, net.out_bias]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -186,7 +184,8 @@ def fit_network(docs: DataFrame, parts: int = 4, part: int = 2, per_class: int =
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~sup.held_out(F.col("doc_id"), parts, part))
     chosen, _ = sup.thin(known, "lang", per_class)
-    sample = sorted((r.doc_id, r.text, r.lang) for r in chosen.select("doc_id", sup.excerpt(F.coalesce("text", F.lit(""))).alias("text"), "lang").collect())
+    got = sup.one_text_each(chosen.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")).collect()
+    sample = sorted((r.doc_id, r.text, r.lang) for r in got)
     return fit([s[1] for s in sample], [s[2] for s in sample])
 
 

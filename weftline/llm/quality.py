@@ -99,9 +99,31 @@ def _runs(cp: np.ndarray) -> Iterator[np.ndarray]:
 _END = np.array([32], np.uint32)
 
 
+def _joined(cp: np.ndarray) -> Iterator[tuple[np.ndarray, int | None]]:
+    """The runs of a text, and for each the bucket of the pair of its first word and the last one of
+    the run before, which no run holds."""
+    if len(cp) <= BLOCK:
+        yield cp, None
+        return
+    last = None
+    for r in _runs(cp):
+        space = np.r_[True, (r < len(_SPACE)) & _SPACE[np.minimum(r, len(_SPACE) - 1)], True]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        pair = None
+        if len(edge):
+            if last is not None:  # two words and then their pair come first
+                pair = int(features(np.concatenate([_END, last, _END, r[edge[0] : edge[1]], _END]))[0][2])
+            last = r[edge[-2] : edge[-1]]
+        yield r, pair
+
+
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    got = [features(np.concatenate([_END, r, _END]))[0] for r in _runs(code_points(text))]
+    got = []
+    for r, pair in _joined(code_points(text)):
+        got.append(features(np.concatenate([_END, r, _END]))[0])
+        if pair is not None:
+            got.append(np.array([pair], np.int64))
     u, n = np.unique(np.concatenate(got), return_counts=True)
     return u, n / max(1, n.sum())
 
@@ -131,7 +153,10 @@ class Model:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            for r in _runs(code_points(t)):
+            for r, pair in _joined(code_points(t)):
+                if pair is not None:
+                    sums[i] += self.table[pair]
+                    counts[i] += 1
                 if size + len(r) > BLOCK:
                     flush()
                 marks.append((i, size))
@@ -141,12 +166,11 @@ class Model:
         return sup.sigmoid(self.bias + sums / np.maximum(counts, 1))
 
 
-def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, seed: int = 5) -> Model:
-    """Train on texts and 0/1 labels. Without both classes the score is the same for all texts."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, shift: float = 0.0, seed: int = 5) -> Model:
+    """Train on texts' bags and 0/1 labels. Without both classes the score is the same for all texts."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
     v = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     seen = np.full(1 << BITS, 1e-8, np.float32)
     w, bias = rng.normal(0, 1 / np.sqrt(DIM), (2, DIM)), np.zeros(2)
@@ -171,6 +195,13 @@ def fit(texts: list[str], y: np.ndarray, shift: float = 0.0, seed: int = 5) -> M
     return Model(v.astype(np.float64) @ (w[1] - w[0]), float(bias[1] - bias[0]) + shift)
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [bag(t.as_py()) for t in b.column(1)]
+        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), b.column(2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "buckets", "shares", "y"])
+
+
 def _score(model_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
@@ -184,13 +215,16 @@ def _score(model_var):
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier of quality 1) and predicted for each row.
 
-    Fits on at most about ``per_class`` labelled documents of each class, scores whole texts.
+    Fits on at most about ``per_class`` labelled documents of each class, of which the executors
+    make bags of features; whole texts are learnt from and scored.
     Null and empty texts get the score of no features. A row that repeats is scored again; a
     null doc_id isn't held out and is never learnt from. Other columns aren't read. Without
     labels every score is 0.5.
     """
-    sample, counts = sup.labelled_texts(docs, labels, "quality", parts, part, per_class)
-    y = np.array([s[2] for s in sample])
-    model = docs.sparkSession.sparkContext.broadcast(fit([s[1] for s in sample], y, sup.prior_shift(counts, y) if len(y) else 0.0))
+    rows, counts = sup.labelled_rows(docs, labels, "quality", parts, part, per_class)
+    got = rows.mapInArrow(tidy(_bags), "doc_id long, buckets array<long>, shares array<double>, y int").toArrow().sort_by("doc_id")
+    bags = [(u.values.to_numpy(), x.values.to_numpy()) for u, x in zip(got["buckets"], got["shares"], strict=True)]
+    y = got["y"].to_numpy()
+    model = docs.sparkSession.sparkContext.broadcast(fit(bags, y, sup.prior_shift(counts, y) if len(y) else 0.0))
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

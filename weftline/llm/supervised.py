@@ -6,10 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of one document that a fit may read; a longer one gives windows from all over it.
-EXCERPT, WINDOWS = 16_384, 16
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo ``parts``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % parts
@@ -19,14 +15,6 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == part, F.lit(False))
 
 
-def excerpt(text: Column) -> Column:
-    """The whole text, or ``WINDOWS`` evenly spaced windows of a longer one (for fitting only)."""
-    n, w = F.length(text), EXCERPT // WINDOWS
-    at = lambda i: F.floor((n - w) * i / (WINDOWS - 1)).cast("int") + 1
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substr(text, at(i), F.lit(w))), "\n")
-    return F.when(n > EXCERPT, spread).otherwise(text)
-
-
 def thin(rows: DataFrame, label: str, per_class: int, seed: int = 11) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each value of ``label`` (all, if there are fewer), chosen by a hash
     of doc_id alone, and the number of rows of each value. Values are classes: few of them."""
@@ -38,18 +26,25 @@ def thin(rows: DataFrame, label: str, per_class: int, seed: int = 11) -> tuple[D
     return rows.where(keep), counts
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, parts: int, part: int, per_class: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """A bounded sample of (doc_id, excerpt, label), held-out rows left out, in order of doc_id, and the
-    number of labelled rows of each class it stands for.
+def one_text_each(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of rows that repeat a key one stays, by a hash of the text: (key, text and the other columns).
+    Partial aggregation leaves one row for each key and task before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, parts: int, part: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of rows (doc_id, text, y), held-out ones left out, and the number of labelled
+    rows of each class it stands for. Texts are whole.
 
-    Rows whose label is null don't count; a doc_id labelled twice takes the larger label. The ids
-    are chosen from the labels first, so only that bounded set is broadcast to the texts.
+    Rows whose label is null don't count; a doc_id labelled twice takes the larger label; of
+    documents that share an id one is read. The ids are chosen from the labels first, so only
+    that bounded set is broadcast to the texts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts, part) & F.col("doc_id").isNotNull())
     chosen, counts = thin(known.groupBy("doc_id").agg(F.max("y").alias("y")), "y", per_class)
-    ids = F.broadcast(chosen)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").select("doc_id", excerpt(F.coalesce("text", F.lit(""))).alias("text"), "y")
-    return sorted((r.doc_id, r.text, r.y) for r in rows.collect()), counts
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return one_text_each(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")), counts
 
 
 def prior_shift(counts: dict[int, int], y: np.ndarray) -> float:

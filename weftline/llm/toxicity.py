@@ -1,12 +1,16 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are lower-case words and, with a leading ``^``, their first five letters; the
-vocabulary is the terms most dependent on the label in the labelled sample (chi square).
-Examples and texts are TF-IDF vectors over it, with document frequencies counted over all
-documents. The nearest examples are found exactly through an inverted index whose terms
-keep the largest weight in each block of examples: blocks that can't reach the k-th best
-cosine are never scored. Votes weighted by distance, with the strength of the match, go
-through a logistic calibration fitted on the examples themselves, each left out in turn.
+Examples and texts are TF-IDF vectors over all words of the examples, with document
+frequencies counted over all documents. Words that depend on the label weigh more (chi
+square, from the examples that a fit reads); none is left out, and the others keep
+``FLOOR`` of their weight, so a text without telling words still has its neighbours by
+plain TF-IDF cosine. Unweighted, insults of a few words drown in the rest of a document.
+
+The nearest examples are found exactly through an inverted index whose terms keep the
+largest weight in each block of examples: blocks that can't reach the k-th best cosine are
+never scored. Votes weighted by distance, with the strength of the match, go through a
+logistic calibration fitted on the examples themselves, each left out in turn. The nearest
+examples are returned as evidence.
 """
 
 from __future__ import annotations
@@ -14,91 +18,111 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
 from weftline.llm.common import tidy
 
-#: Labelled documents of each class that a fit reads, terms kept, neighbours asked for.
-PER_CLASS, TERMS, NEIGHBOURS = 2000, 8192, 15
-#: Least chi square of a term (one in 10,000 by chance) and least number of examples with it.
-LEAST_CHI, LEAST_DF = 15.1, 3
+#: Labelled documents of each class that a fit reads, neighbours that vote, neighbours returned.
+PER_CLASS, NEIGHBOURS, EVIDENCE = 2000, 15, 3
+#: Part of its weight that a term keeps which doesn't depend on the label; the chi square at which it
+#: begins to count as dependent (one in 10,000 by chance) and at which it has its full weight; and the
+#: least number of examples with it.
+FLOOR, LEAST_CHI, FULL_CHI, LEAST_DF = 0.05, 15.1, 100.0, 3
 BLOCK = 64
-PREFIX = 5
-CACHE = 300_000
+#: Blocks scored in the first rounds, which raise the bar for the rest.
+ROUNDS = (2, 8)
+#: Tokens remembered by a worker.
+CACHE = 60_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(token: str) -> list[str]:
-    """Terms of a token between white space."""
-    out = []
-    for w in _LETTERS.findall(token.lower()):
-        out.append(w)
-        if len(w) > PREFIX:
-            out.append("^" + w[:PREFIX])
-    return out
+def tokens_of(text: str | None) -> Counter:
+    return Counter((text or "").lower().split())
 
 
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for token, n in Counter((text or "").split()).items():
-        for t in terms_of(token):
-            out[t] += n
-    return out
+def term(word: str) -> int:
+    """A word's number, signed 64 bits."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def choose_terms(bags: list[Counter], y: np.ndarray, limit: int = TERMS) -> list[str]:
-    """Terms by dependence of their presence on the label, the strongest first."""
-    df: dict[str, list[int]] = {}
-    for b, label in zip(bags, y.tolist(), strict=True):
-        for t in b:
-            df.setdefault(t, [0, 0])[label] += 1
-    n1 = float(y.sum())
-    n0, n = len(y) - n1, float(len(y))
-    scored = []
-    for t, (b, a) in df.items():
-        if a + b >= LEAST_DF:
-            chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / max(1e-9, (a + b) * (n - a - b) * n1 * n0)
-            if chi >= LEAST_CHI:
-                scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:limit]]
+def hashed_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Terms of a text in order, how often each is there, and the number of tokens."""
+    tokens = tokens_of(text)
+    words: Counter = Counter()
+    for token, n in tokens.items():
+        for w in _LETTERS.findall(token):
+            words[w] += n
+    terms = np.fromiter(map(term, words), np.int64, len(words))
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(words.values(), np.int64, len(words))[order], tokens.total()
 
 
 class Lookup(dict):
-    """Term numbers of tokens, remembered; most tokens have none."""
+    """Places of tokens' words in the vocabulary (sorted terms), remembered."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, vocabulary: np.ndarray):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, token: str):
-        got = tuple(self.vocabulary[t] for t in terms_of(token) if t in self.vocabulary) or None
-        if len(token) < 64:
-            self[token] = got
-        return got
-
-    def counts(self, text: str | None) -> tuple[Counter, int]:
-        """How often each term of the vocabulary is in a text, and the number of its tokens."""
+    def learn(self, tokens: list[str]) -> None:
+        if len(self) > CACHE:
+            self.clear()
+        words = [_LETTERS.findall(t) for t in tokens]
+        flat = np.array([term(w) for ws in words for w in ws], np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
+        known = (self.vocabulary[at] == flat).tolist() if len(self.vocabulary) else [False] * len(flat)
+        at, k = at.tolist(), 0
+        for t, ws in zip(tokens, words, strict=True):
+            self[t] = tuple(at[i] for i in range(k, k + len(ws)) if known[i])
+            k += len(ws)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Like ``hashed_counts``, with places instead of terms and none but those of the vocabulary."""
+        tokens = tokens_of(text)
         if len(self) > CACHE:
             self.clear()
-        tokens = (text or "").split()
-        out: Counter = Counter()
-        for hit in filter(None, map(self.__getitem__, tokens)):
-            out.update(hit)
-        return out, len(tokens)
+        if new := [t for t in tokens if t not in self]:
+            self.learn(new)
+        out: dict[int, int] = {}
+        for token, n in tokens.items():
+            for i in self[token]:
+                out[i] = out.get(i, 0) + n
+        at = np.fromiter(out, np.int64, len(out))
+        order = np.argsort(at)
+        return at[order], np.fromiter(out.values(), np.int64, len(out))[order], tokens.total()
+
+
+def dependence(bags: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """What each term keeps of its weight, by the chi square of its presence and the label."""
+    counts = np.zeros((2, n_terms))
+    for b, label in zip(bags, y.tolist(), strict=True):
+        counts[label, b] += 1
+    b, a = counts
+    n1, n = float(y.sum()), float(len(y))
+    n0 = n - n1
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, (a + b) * (n - a - b) * n1 * n0)
+    return np.where((chi >= LEAST_CHI) & (a + b >= LEAST_DF), FLOOR + (1 - FLOOR) * np.minimum(1, np.sqrt(chi / FULL_CHI)), FLOOR)
 
 
-def weigh(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Terms in order, their unit-length TF-IDF weights, and the length before."""
-    t = np.array(sorted(counts), np.int64)
-    w = (1 + np.log([counts[i] for i in t.tolist()])) * idf[t] if len(t) else np.zeros(0)
+def weigh(t: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """Unit-length TF-IDF weights and the length before."""
+    w = (1 + np.log(counts)) * idf[t]
     norm = float(np.sqrt(w @ w))
-    return t, w / norm if norm else w, norm
+    return (w / norm if norm else w), norm
+
+
+def _ranges(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of a[i] .. a[i] + n[i] - 1, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(a - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
@@ -106,55 +130,60 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        ex = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        ex = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
         w = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((ex, term))
-        term, self.ex, self.w = term[order], ex[order], w[order]
-        run = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.ex[1:] // block != self.ex[:-1] // block)]) if len(term) else np.zeros(0, np.int64)
-        self.run_at = np.r_[run, len(term)]  # postings of one term in one block
-        self.run_block = self.ex[run] // block if len(run) else np.zeros(0, np.int64)
+        order = np.lexsort((ex, terms))
+        terms, self.ex, self.w = terms[order], ex[order], w[order]
+        run = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (self.ex[1:] // block != self.ex[:-1] // block)]) if len(terms) else np.zeros(0, np.int64)
+        self.run_at = np.r_[run, len(terms)].astype(np.int32)  # postings of one term in one block
+        self.run_block = (self.ex[run] // block).astype(np.int32) if len(run) else np.zeros(0, np.int32)
         self.run_max = np.maximum.reduceat(self.w, run) if len(run) else np.zeros(0)
-        self.term_at = np.searchsorted(term[run], np.arange(n_terms + 1)) if len(run) else np.zeros(n_terms + 1, np.int64)
+        self.term_at = np.searchsorted(terms[run], np.arange(n_terms + 1)).astype(np.int32) if len(run) else np.zeros(n_terms + 1, np.int32)
         self.blocks = -(-self.n // block)
         self.scored = 0  # postings read, for tests
 
     def _add(self, scores: np.ndarray, runs: np.ndarray, q: np.ndarray) -> None:
-        for r, x in zip(runs.tolist(), q.tolist(), strict=True):
-            a, b = self.run_at[r], self.run_at[r + 1]
-            scores[self.ex[a:b]] += x * self.w[a:b]
-            self.scored += b - a
+        a = self.run_at[runs]
+        n = self.run_at[runs + 1] - a
+        at = _ranges(a, n)
+        scores += np.bincount(self.ex[at], np.repeat(q, n) * self.w[at], self.n)
+        self.scored += len(at)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine (ties: the smaller number first)."""
-        runs = [np.arange(self.term_at[t], self.term_at[t + 1]) for t in terms.tolist()]
-        q = np.repeat(weights, [len(r) for r in runs])
-        runs = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        a = self.term_at[terms]
+        n = self.term_at[terms + 1] - a
+        runs, q = _ranges(a, n), np.repeat(weights, n)
         if not len(runs):
             return np.zeros(0, np.int64), np.zeros(0)
         blocks = self.run_block[runs]
         bound = np.bincount(blocks, q * self.run_max[runs], self.blocks) * (1 + 1e-9)
-        scores = np.zeros(self.n)
-        # enough of the most promising blocks for k examples, then all that may still reach the k-th
-        first = np.argsort(-bound, kind="stable")[: max(2, -(-k // self.block))]
-        near = np.isin(blocks, first)
-        self._add(scores, runs[near], q[near])
-        if leave >= 0:
-            scores[leave] = 0
-        kth = np.partition(scores, -k)[-k] if k <= self.n else 0.0
-        more = ~near & (bound[blocks] >= kth)
-        self._add(scores, runs[more], q[more])
-        if leave >= 0:
-            scores[leave] = 0
+        best, scores, kth = np.argsort(-bound, kind="stable"), np.zeros(self.n), 0.0
+        edges = [0, *np.cumsum([max(ROUNDS[0], -(-k // self.block)), *ROUNDS[1:]]).tolist(), self.blocks]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # the most promising blocks, then all that may still reach the k-th
+            own = best[lo:hi]
+            own = own[(bound[own] >= kth) & (bound[own] > 0)]
+            if not len(own):
+                break
+            ask = np.zeros(self.blocks, bool)
+            ask[own] = True
+            ask = ask[blocks]
+            self._add(scores, runs[ask], q[ask])
+            if leave >= 0:
+                scores[leave] = 0
+            kth = np.partition(scores, -k)[-k] if k <= self.n else 0.0
         found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= kth]
         found = found[np.lexsort((found, -scores[found]))[:k]]
         return found, scores[found]
 
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    vocabulary: np.ndarray  # sorted terms
+    idf: np.ndarray  # with what the dependence on the label leaves of it
     index: BlockMaxIndex
     ids: np.ndarray
     y: np.ndarray
@@ -162,36 +191,48 @@ class Model:
     coef: np.ndarray
     empty: float  # score of a text without terms
     k: int = NEIGHBOURS
+    look: Lookup | None = field(default=None, repr=False)
+
+    def lookup(self) -> Lookup:
+        if self.look is None:
+            self.look = Lookup(self.vocabulary)
+        return self.look
+
+    def __getstate__(self):
+        return self.__dict__ | {"look": None}
 
     def measures(self, t: np.ndarray, w: np.ndarray, norm: float, words: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the calibration sees, and the neighbours with their cosines."""
         found, cos = self.index.nearest(t, w, self.k, leave)
         near = cos * cos / (1.0001 - np.minimum(cos, 1.0)) ** 0.5
         vote = near * self.vote_weight[found]
-        share = float((vote * self.y[found]).sum() / vote.sum()) if len(found) else 0.0
         toxic = self.y[found] == 1
+        share = float(vote[toxic].sum() / vote.sum()) if len(found) else 0.0
         strength = float((cos[toxic].sum() - cos[~toxic].sum()) / self.k)
         return np.array([1.0, share, strength, share * np.log1p(norm), share * norm / np.sqrt(words + 1.0)]), found, cos
 
-    def score(self, counts: Counter, words: int) -> float:
-        t, w, norm = weigh(counts, self.idf)
-        if not norm:
-            return self.empty
-        m, found, _ = self.measures(t, w, norm, words)
-        return float(sup.sigmoid(m @ self.coef)) if len(found) else self.empty
+    def judge(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """A text's score, its nearest examples and their cosines."""
+        t, n, words = self.lookup().counts(text)
+        w, norm = weigh(t, n, self.idf)
+        if norm:
+            m, found, cos = self.measures(t, w, norm, words)
+            if len(found):
+                return float(sup.sigmoid(m @ self.coef)), found, cos
+        return self.empty, np.zeros(0, np.int64), np.zeros(0)
+
+    def score(self, text: str | None) -> float:
+        return self.judge(text)[0]
 
     def evidence(self, text: str | None) -> list[dict]:
-        """The nearest examples of a text: doc_id, label, cosine and shared terms."""
-        counts, words = Lookup(self.vocabulary).counts(text)
-        t, w, norm = weigh(counts, self.idf)
-        if not norm:
-            return []
-        _, found, cos = self.measures(t, w, norm, words)
-        names = {v: k for k, v in self.vocabulary.items()}
+        """The nearest examples of a text: doc_id, label, cosine and shared words, the heaviest first."""
+        _, found, cos = self.judge(text)
+        look = self.lookup()
+        names = {i: w for token in tokens_of(text) for w, i in zip(_LETTERS.findall(token), look[token], strict=False) if len(look[token]) == len(_LETTERS.findall(token))}
         out = []
         for i, c in zip(found.tolist(), cos.tolist(), strict=True):
-            own = [x for x in t.tolist() if i in self.index.ex[self.index.run_at[self.index.term_at[x]] : self.index.run_at[self.index.term_at[x + 1]]]]
-            out.append({"doc_id": int(self.ids[i]), "label": int(self.y[i]), "cosine": c, "terms": [names[x] for x in own]})
+            own = [x for x in names if i in self.index.ex[self.index.run_at[self.index.term_at[x]] : self.index.run_at[self.index.term_at[x + 1]]]]
+            out.append({"doc_id": int(self.ids[i]), "label": int(self.y[i]), "cosine": c, "words": [names[x] for x in sorted(own, key=lambda x: -self.idf[x])]})
         return out
 
 
@@ -210,35 +251,46 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return beta
 
 
-def fit(sample: list[tuple[int, Counter, int, int]], vocabulary: dict[str, int], idf: np.ndarray, class_counts: dict[int, int]) -> Model:
-    """``sample``: (doc_id, term-number counts, number of tokens, label) of each example."""
+def fit(sample: list[tuple[int, np.ndarray, np.ndarray, int, int]], vocabulary: np.ndarray, idf: np.ndarray, class_counts: dict[int, int]) -> Model:
+    """``sample``: doc_id, places of terms, counts, number of tokens and label of each example."""
+    y = np.array([s[4] for s in sample], np.int64)
+    if len(y) and y.min() != y.max():
+        idf = idf * dependence([s[1] for s in sample], y, len(vocabulary))
     # examples that share their strongest term stand together, which keeps blocks' bounds tight
-    weighed = [(s, weigh(s[1], idf)) for s in sample]
-    weighed.sort(key=lambda x: (x[0][3], int(x[1][0][np.argmax(x[1][1])]) if x[1][2] else -1, x[0][0]))
-    y = np.array([s[3] for s, _ in weighed], np.int64)
+    weighed = [(s, *weigh(s[1], s[2], idf)) for s in sample]
+    weighed.sort(key=lambda x: (x[0][4], int(x[0][1][np.argmax(x[1])]) if x[2] else -1, x[0][0]))
+    y = np.array([s[4] for s, _, _ in weighed], np.int64)
     n = np.bincount(y, minlength=2)
     each = np.array([max(1, class_counts.get(c, 0)) / max(1, n[c]) for c in (0, 1)])
-    index = BlockMaxIndex([(v[0], v[1]) for _, v in weighed], len(idf))
+    index = BlockMaxIndex([(s[1], w) for s, w, _ in weighed], len(vocabulary))
     weight = each[y] if len(y) else np.zeros(0)
-    model = Model(vocabulary, idf, index, np.array([s[0] for s, _ in weighed], np.int64), y, weight, np.zeros(5), 0.5)
+    model = Model(vocabulary, idf, index, np.array([s[0] for s, _, _ in weighed], np.int64), y, weight, np.zeros(5), 0.5)
     if not len(y):
         return model
     prior = float(weight[y == 1].sum() / weight.sum())
     rows, labels, weights, none = [], [], [], [prior, 1.0]
-    for i, (s, (t, w, norm)) in enumerate(weighed):
-        m, found, _ = model.measures(t, w, norm, s[2], i) if norm else (None, [], None)
+    for i, (s, w, norm) in enumerate(weighed):
+        m, found, _ = model.measures(s[1], w, norm, s[3], i) if norm else (None, [], None)
         if len(found):
             rows.append(m)
-            labels.append(s[3])
+            labels.append(s[4])
             weights.append(weight[i])
         else:
-            none[0] += weight[i] * s[3]
+            none[0] += weight[i] * s[4]
             none[1] += weight[i]
     model.empty = none[0] / none[1]
-    model.coef = logistic(np.array(rows), np.array(labels, float), np.array(weights)) if rows else np.array([np.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0])
+    one = y.min() == y.max()
+    model.coef = logistic(np.array(rows), np.array(labels, float), np.array(weights)) if rows and not one else np.array([np.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0])
     return model
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [hashed_counts(t.as_py()) for t in b.column(1)]
+        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64()), b.column(2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "terms", "counts", "words", "y"])
+
+
 def _frequencies(vocabulary_var):
     """Documents of one partition that have each term: (term, n)."""
 
@@ -247,10 +299,7 @@ def _frequencies(vocabulary_var):
         look, df = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for t in b.column(0):
-                if len(look) > CACHE:
-                    look.clear()
-                for i in {i for hit in filter(None, map(look.__getitem__, (t.as_py() or "").split())) for i in hit}:
-                    df[i] += 1
+                df[look.counts(t.as_py())[0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
@@ -260,52 +309,55 @@ def _frequencies(vocabulary_var):
 def _score(model_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
-        look = Lookup(model.vocabulary)
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for b in batches:
-            s = [model.score(*look.counts(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            got = [model.judge(t.as_py()) for t in b.column(1)]
+            near = [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in zip(model.ids[f[:EVIDENCE]].tolist(), model.y[f[:EVIDENCE]].tolist(), cos[:EVIDENCE].tolist(), strict=True)] for _, f, cos in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "evidence"])
 
     return run
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS, limit: int = TERMS) -> Model:
-    """Fit on at most about ``per_class`` labelled documents of each class; frequencies over all documents."""
+def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> Model:
+    """Fit on at most about ``per_class`` labelled documents of each class, whole texts; frequencies over
+    all documents. The examples' words are counted where the texts are."""
     spark = docs.sparkSession
-    sample, counts = sup.labelled_texts(docs, labels, "toxic", parts, part, per_class)
-    y = np.array([s[2] for s in sample], np.int64)
-    bags = [term_counts(s[1]) for s in sample]
-    vocabulary = {t: i for i, t in enumerate(choose_terms(bags, y, limit))} if len(y) and y.min() != y.max() else {}
-    var = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_frequencies(var)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    n_docs = docs.count()
+    rows, counts = sup.labelled_rows(docs, labels, "toxic", parts, part, per_class)
+    got = rows.mapInArrow(tidy(_bags), "doc_id long, terms array<long>, counts array<long>, words long, y int").toArrow().sort_by("doc_id").combine_chunks()
+    lists = lambda c: np.split(got[c].combine_chunks().flatten().to_numpy(), np.cumsum(got[c].combine_chunks().value_lengths().to_numpy())[:-1]) if len(got) else []
+    terms = lists("terms")
+    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.int64)
     df = np.zeros(len(vocabulary))
-    if vocabulary:
-        for r in rows.collect():  # one row for each term of the bounded vocabulary
-            df[r.term] = r.n
+    n_docs = docs.count()
+    if len(vocabulary):
+        var = spark.sparkContext.broadcast(vocabulary)
+        found = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_frequencies(var)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df[found["term"].to_numpy()] = found["n"].to_numpy()  # one row for each word of the bounded examples
+        var.unpersist()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    look = Lookup(vocabulary)
-    return fit([(s[0], *look.counts(s[1]), s[2]) for s in sample], vocabulary, idf, counts)
+    sample = [(d, np.searchsorted(vocabulary, t), n, w, y) for d, t, n, w, y in zip(got["doc_id"].to_pylist(), terms, lists("counts"), got["words"].to_pylist(), got["y"].to_pylist(), strict=True)]
+    return fit(sample, vocabulary, idf, counts)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: likelier toxic) and predicted for each row.
+    """doc_id, held_out, score (0 to 1, higher: likelier toxic), predicted and evidence (the nearest
+    ``EVIDENCE`` examples: doc_id, label, cosine) for each row.
 
-    Whole texts are scored. A null, empty or term-free text gets the rate of such examples.
-    Repeated rows are scored each; a null doc_id isn't held out and is never learnt from;
-    other columns aren't read. Without labels of both classes all texts score alike (0.5
-    without any).
+    Whole texts are scored. A null, empty or term-free text gets the rate of such examples and
+    has no evidence. Repeated rows are scored each; a null doc_id isn't held out and is never
+    learnt from; other columns aren't read. Without labels of both classes all texts score
+    alike (0.5 without any).
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double")
-    return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+    return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def _clean(model_var, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
-        look = Lookup(model.vocabulary)
         for b in batches:
-            yield b.filter(pa.array([model.score(*look.counts(t.as_py())) < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([model.score(t.as_py()) < 0.5 for t in b.column(at)], pa.bool_()))
 
     return run
 
