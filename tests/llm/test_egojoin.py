@@ -91,3 +91,9 @@ def test_equals_sql(spark):
     assert [x[0] for x in r.description] == got.columns
     want = sorted(r.fetchall())
     assert sorted(map(tuple, got.collect())) == want and any(w[1] for w in want)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [0.01, 1.0], 0), (None, [-1.0, 0.0], 0), (1, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)]
+    got = egojoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, 1, False), (None, 0, None, True), (1, 1, 1, True), (3, 1, 1, False)]))

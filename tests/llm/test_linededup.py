@@ -89,3 +89,11 @@ def test_buckets_of_many_lines_are_compared_without_overflow(spark):
     assert [sorted((r.a, r.b)) for r in got] == [[3, 7]]
     fewer = buckets.where("band = 0 or key != 5")
     assert len(linededup._edges(fewer, texts, linededup.LEAST, linededup.BUCKET).collect()) == 2
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a line that repeats itself", 0), (2, "a line that repeats itself", 0), (2, "quite unique content nobody else has", 0), (2, "quite unique content nobody else has", 0), (3, None, 0), (3, None, 0), (None, "a line that repeats itself\nnone of the others has this one", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    got = linededup.dedup_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(2, "quite unique content nobody else has", 0), (3, None, 0), (3, None, 0), (None, "a line that repeats itself\nnone of the others has this one", 0)]))

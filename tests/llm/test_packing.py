@@ -44,16 +44,32 @@ def test_tree_of_rounds(spark):
     """13 groups of some 230 items stay within 3 % of what best fit makes of all at once."""
     rng = random.Random(4)
     lengths = [rng.choice([1, 2, 3, 5, 8, 13, 21, 34, 55, 60, 99]) for _ in range(3000)]
-    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long").repartition(13)
-    rows = packing.pack(items, 100, fan_in=3).collect()
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long")
+    rows = packing.pack(items, 100, fan_in=3, group=230).collect()
     assert sorted((r.item, r.length) for r in rows) == sorted(enumerate(lengths))
     assert check(rows, 100) <= 1.03 * len(packing.best_fit(np.array(lengths), 100)[2])
 
 
 def test_merging_saves_sequences(spark):
-    items = spark.createDataFrame([(i, 10) for i in range(50)], "item long, length long").repartition(10)
-    assert check(packing.pack(items, 100, fan_in=3).collect(), 100) <= 6
-    assert check(packing.pack(items, 100, fan_in=3, enough=1).collect(), 100) == 10  # no rounds
+    items = spark.createDataFrame([(i, 10) for i in range(50)], "item long, length long")
+    assert check(packing.pack(items, 100, fan_in=3, group=6).collect(), 100) <= 6
+    # one group of many open bins keeps no other from merging, and bins that fit nowhere end the rounds
+    mixed = spark.createDataFrame([(i, 60) for i in range(40)] + [(i, 10) for i in range(40, 80)], "item long, length long")
+    assert check(packing.pack(mixed, 100, group=8).collect(), 100) <= 41
+    assert check(packing.pack(mixed.where("length = 60"), 100, group=8).collect(), 100) == 40
+
+
+def test_items_grouped_by_length(spark):
+    """Files of long items and files of short ones meet: 300 sequences at best, 450 if each file packed its own."""
+    items = spark.createDataFrame([(i, 55 if i < 300 else 45) for i in range(600)], "item long, length long").repartitionByRange(6, "item")
+    assert check(packing.pack(items, 100, group=100).collect(), 100) <= 330
+
+
+def test_any_column_names(spark):
+    items = spark.createDataFrame([(i, 10, 1, 2, "x", 5) for i in range(9)], "bin long, length long, fill int, n int, c1 string, offset int")
+    out = packing.pack(items, 100)
+    assert out.columns == ["bin", "length", "fill", "n", "c1", "sequence_id", "offset"]
+    assert check(out.collect(), 100) == 1 and sorted(r.bin for r in out.collect()) == list(range(9))
 
 
 def test_documents(spark):

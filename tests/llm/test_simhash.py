@@ -89,3 +89,10 @@ def test_components_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges, Tables(spark, "test")).collect()}
     assert all(got[i] == 0 for i in range(n + 1)) and got[1001] == got[1000] == 1000 and len(got) == n + 3
+
+
+def test_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a line that repeats itself", "x"), (2, "a line that repeats itself", "y"), (2, "quite unique content nobody else has", "z"), (2, "quite unique content nobody else has", "z"), (None, "quite unique content nobody else has", "n"), (None, "words of no one with an id", "n")], "doc_id long, text string, first string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "a line that repeats itself", "x"), (2, "quite unique content nobody else has", "z"), (None, "words of no one with an id", "n")]))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
@@ -18,25 +20,42 @@ LOCAL_SHARED = "file:///tmp/checkpoints/weftline"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Without it a local folder
+    serves where all is one machine; on a cluster that's an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
-_roots: list[str] = []
+_open: list[list[str]] = []
 
 
 def unique() -> str:
     return uuid.uuid4().hex
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the intermediate tables of all operators so far in this process. Only for callers that
-    have written every result they still need elsewhere."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _roots:
-        p = jvm.org.apache.hadoop.fs.Path(_roots.pop())
-        p.getFileSystem(conf).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of the tables that operators called inside make; other results' tables aren't in it.
+    They may go (``sweep``) once the operators' results are written elsewhere."""
+    roots: list[str] = []
+    _open.append(roots)
+    try:
+        yield roots
+    finally:
+        _open.remove(roots)
+
+
+def sweep(spark: SparkSession, roots: list[str]) -> None:
+    """Delete folders that ``collected`` gathered."""
+    while roots:
+        delete(spark, roots.pop())
 
 
 #: Bytes of texts that one Arrow batch to or from Python holds, more or less.
@@ -86,7 +105,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{unique()}", 0
-        _roots.append(self.root)
+        for roots in _open:
+            roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -100,11 +120,28 @@ class Tables:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             if path := getattr(t, "_weft_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                delete(self.spark, path)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def one_of_equal(docs: DataFrame, tables: Tables, where: Column | None = None) -> DataFrame:
+    """Of rows that are equal in doc_id and text (and fulfil ``where``) one stays, so that id and text
+    name a row. Only rows that do repeat are regrouped, with partial aggregation."""
+    keys = docs if where is None else docs.where(where)
+    keys = keys.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("th")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
+    twice = tables.write(keys.where("n > 1").select("id", "th"), "repeats")
+    if twice.isEmpty():
+        return docs
+    d, t = docs.alias("d"), twice.alias("t")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.id")) & (text_hash(F.col("d.text")) == F.col("t.th"))
+    some = d.join(t, on, "left_semi")
+    first = some.groupBy(some["doc_id"].alias("_id"), text_hash(some["text"]).alias("_th")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))
+    return d.join(t, on, "left_anti").unionByName(first.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -220,7 +220,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     Rows link at a cosine of at least ``least`` where labels (and lengths) are equal. A null
     label, and a vector that is null, empty, all zero or holds null or non-finite values,
     links with nothing: 0 links, its own component, kept. Equal vectors of a label are joined
-    once, with their number; a repeated vec_id counts as another vector. No rows give none.
+    once, with their number. A repeated vec_id counts as another vector, with links and a
+    component of its own; a null vec_id links like any other, is no component's id unless it is
+    alone there (then null), and counts as kept only then. No rows give none.
     """
     spark = embeddings.sparkSession
     tables = Tables(spark, "egojoin")
@@ -229,8 +231,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
     marked = rows.withColumn("ok", usable).withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "v")))
-    classes = marked.where("ok").groupBy("h", "label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = tables.write(classes.select("rep", "label", F.size("v").alias("d"), "n", "v", "h"), "classes")
+    classes = marked.where("ok").groupBy("h", "label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # a class has a number of its own: vec_ids may repeat or be null; written, the numbers are fixed
+    reps = tables.write(classes.select(F.monotonically_increasing_id().alias("rep"), "label", F.size("v").alias("d"), "n", "v", "h", "least"), "classes")
     lengths = reps.groupBy("d").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "d").first()
     if lengths is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -257,8 +260,11 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, interval: int =
     joined = tables.write(dealt.mapInArrow(tidy(_pairs(least, eps)), "a long, links long, b long"), "joined")
     links = joined.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = tables.write(components(joined.where("b is not null").select("a", "b"), tables), "components").withColumnRenamed("node", "rep")
-    known = reps.select("rep", "n", "h", "label", "v").join(links, "rep", "left").join(comp, "rep", "left")
-    known = known.select("h", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    rooted = tables.write(reps.select("rep", "least").join(comp, "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("root")), "rooted")
+    least_of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.select("rep", "root").join(least_of, "root").select("rep", "component_id")
+    known = reps.select("rep", "n", "h", "label", "v").join(links, "rep", "left").join(named, "rep")
+    known = known.select("h", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     found = marked.where("ok").join(known, ["h", "label", "v"]).select("vec_id", "n_links", "component_id")
     alone = marked.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

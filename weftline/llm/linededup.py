@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components, tidy
+from weftline.llm.common import Tables, components, one_of_equal, text_hash, tidy
 
 SHINGLE, LEAST = 5, 0.8
 #: Two lines at 0.8 share no bucket once in 110, at 0.85 once in 2,300, at 0.9 once in 450,000;
@@ -251,16 +251,16 @@ def key_filter(live: DataFrame) -> np.ndarray:
 
 
 def _positions(filter_var):
-    """(doc_id, line_no, key, text): the text only where the filter knows the key, once a partition."""
+    """(doc_id, th, line_no, key, text): the text only where the filter knows the key, once a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_var.value
         sent: set[int] = set()
         for b in batches:
-            ids, nos, keys, texts = [], [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows, nos, keys, texts = [], [], [], []
+            for row, t in enumerate(b.column(1)):
                 for i, line in lines_of(t.as_py()):
-                    ids.append(doc)
+                    rows.append(row)
                     nos.append(i)
                     keys.append(key_of(line))
                     texts.append(line)
@@ -274,7 +274,8 @@ def _positions(filter_var):
                     texts[i] = None
                 else:
                     sent.add(keys[i])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(k), pa.array(texts, pa.string())], names=["doc_id", "line_no", "key", "text"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(nos, pa.int32()), pa.array(k), pa.array(texts, pa.string())], names=["doc_id", "th", "line_no", "key", "text"])
 
     return run
 
@@ -373,17 +374,22 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     (the first line of its component in order of doc_id and number) and kept.
 
     Lines are cut at line feeds and compared without white space at their ends. Null and empty
-    texts have no lines. Rows that repeat a doc_id share its positions, so equal lines at equal
-    positions are kept alike; null ids come first. Other columns aren't read. Keys have 64
-    bits: two different lines share one with a chance of n^2 / 2^65.
+    texts have no lines. Rows that share a doc_id are told apart by a hash of their texts, which
+    also orders them; rows equal in both share their positions and are kept alike. Null ids come
+    first. Other columns aren't read. Keys have 64 bits: two different lines share one with a
+    chance of n^2 / 2^65.
     """
+    return _classes(docs, least, bucket, tables or Tables(docs.sparkSession, "linededup")).drop("th")
+
+
+def _classes(docs: DataFrame, least: float, bucket: int, tables: Tables) -> DataFrame:
+    """``line_classes`` with th, the hash of each line's text."""
     spark: SparkSession = docs.sparkSession
-    tables = tables or Tables(spark, "linededup")
-    texts_in = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts_in = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("th"))
     banded = texts_in.select("text").mapInArrow(tidy(_bands(bucket_bits(texts_in))), "grp int, data binary")
     live = tables.write(banded.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(_live), "band long, b byte, key long, n long"), "buckets")
     known = spark.sparkContext.broadcast(key_filter(live))
-    lines = tables.write(texts_in.mapInArrow(tidy(_positions(known)), "doc_id long, line_no int, key long, text string"), "lines")
+    lines = tables.write(texts_in.mapInArrow(tidy(_positions(known)), "doc_id long, th long, line_no int, key long, text string"), "lines")
     texts = tables.write(lines.where("text is not null").join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "texts")
     first = tables.write(_edges(live.where(F.col("b") < FIRST_BANDS).select("band", "key", F.col("key").alias("comp"), "n"), texts, least, bucket), "edges")
     comp = tables.write(components(first, tables), "first")
@@ -393,15 +399,15 @@ def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, ta
     roots = tables.write(components(first.unionByName(second), tables), "roots").withColumnRenamed("node", "key")
     # places are summed up by line before they are by class, and each join reads written tables, so that
     # a line or a class with many places is split between tasks
-    places = lines.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
+    places = lines.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
     rooted = places.join(roots, "key", "left").where("n > 1 or root is not null")
     many = tables.write(rooted.select("key", F.coalesce("root", "key").alias("cls"), "f"), "many")
     firsts = tables.write(many.groupBy("cls").agg(F.min("f").alias("f")), "firsts")
     heads = tables.write(many.select("key", "cls").join(firsts, "cls").select("key", "f"), "heads")
-    out = lines.select("doc_id", "line_no", "key").join(heads, "key", "left")
-    mine = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    head = F.when(F.col("f").isNotNull(), F.struct(F.col("f.doc_id").alias("d"), F.col("f.line_no").alias("l"))).otherwise(mine)
-    return out.select("doc_id", "line_no", head["d"].alias("first_doc_id"), head["l"].alias("first_line_no"), head.eqNullSafe(mine).alias("kept"))
+    out = lines.select("doc_id", "th", "line_no", "key").join(heads, "key", "left")
+    mine = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))
+    head = F.when(F.col("f").isNotNull(), F.struct(F.col("f.doc_id").alias("d"), F.col("f.th").alias("t"), F.col("f.line_no").alias("l"))).otherwise(mine)
+    return out.select("doc_id", "th", "line_no", head["d"].alias("first_doc_id"), head["l"].alias("first_line_no"), head.eqNullSafe(mine).alias("kept"))
 
 
 def _without(names: list[str], schema: pa.Schema):
@@ -425,11 +431,15 @@ def _without(names: list[str], schema: pa.Schema):
 
 def dedup_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` with all its columns, texts without repeated lines; a document stays unless it had
-    lines and loses every one. Where rows repeat a doc_id, a position goes if either row's does."""
+    lines and loses every one. Rows that share a doc_id are judged each by its own text; of rows
+    that are equal in both (and have a line) one stays."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     tables = Tables(docs.sparkSession, "linededup")
-    gone = line_classes(docs, least, tables=tables).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_gone_id")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")), "left").select(*[docs[c] for c in docs.columns], "_gone")
+    docs = one_of_equal(docs, tables, F.col("text").rlike(f"[^{STRIP}\\n]"))
+    gone = _classes(docs, least, BUCKET, tables).where("not kept").groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("gone"))
+    d, g = docs.alias("d"), gone.alias("g")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (text_hash(F.col("d.text")) == F.col("g.th"))
+    # by place: whatever names the columns have
+    joined = d.join(g, on, "left").select("d.*", "g.gone").toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])
     return joined.mapInArrow(tidy(_without(docs.columns, to_arrow_schema(docs.schema))), docs.schema)

@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
-Each partition packs its pieces best-fit decreasing and closes the bins that are nearly
-full. Underfull bins become items of the next round, where several partitions' bins meet
-in one, until a single group is left (or groups are so large that meeting others gains
-nothing). Only (bin, fill) numbers take part in these rounds, never tokens.
+Pieces are dealt at random to groups, each of which packs its own best-fit decreasing and
+closes the bins that are nearly full. Underfull bins become items of the next round, where
+the bins of several groups meet in one, until a single group is left. A group never holds
+more than about ``GROUP`` bins: where more stay open, they are dealt anew each round, until
+a round saves less than one bin in ``GAIN``. Only numbers take part, never tokens.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from weftline.llm.tokens import encoder
 
 #: Partitions (or groups) whose underfull bins meet in one group of the next round.
 FAN_IN = 8
-#: A group of at least so many underfull bins meets no others: they'd gain less than a bin in ten thousand.
-ENOUGH = 1_000_000
+#: Pieces or bins of a group, about; and a round that saves less than one open bin in so many is the last.
+GROUP, GAIN = 100_000, 2000
 #: Bins with this many free tokens or fewer are closed at once.
 SLACK = 0
 END_ID = 0
@@ -88,24 +89,25 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _pack_partition(capacity: int, n_cols: int):
-    """Pieces of one partition with their bin, offset and the bin's fill. Only numbers are held."""
+def _pack_partition(capacity: int, at: int):
+    """Items of one partition with their bin, offset and the bin's fill; lengths are in column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        bins, offsets, fills = best_fit(t.column("length").to_numpy(), capacity)
+        bins, offsets, fills = best_fit(t.column(at).to_numpy(), capacity)
         base = TaskContext.get().partitionId() << 36
-        t = t.append_column("bin", pa.array(base + bins)).append_column("offset", pa.array(offsets)).append_column("fill", pa.array(fills[bins]))
+        for c in (base + bins, offsets, fills[bins]):
+            t = t.append_column(f"x{t.num_columns}", pa.array(c))
         yield from t.combine_chunks().to_batches(1 << 16)
 
     return run
 
 
 def _merge(capacity: int, round_no: int):
-    """Underfull bins of one group as items: (bin, into, shift), and the groups' new bins' fills."""
+    """Underfull bins of some groups as items: (bin, into, shift, fill), fill that of the new bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -118,37 +120,43 @@ def _merge(capacity: int, round_no: int):
         for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(group)) + 1):
             bins, offsets, fills = best_fit(fill[part], capacity)
             into = (1 << 62) | (round_no << 56) | (group[part] << 34) | bins
-            cols = [group[part], ids[part], into, offsets, fills[bins]]
-            yield from pa.Table.from_arrays([pa.array(c) for c in cols], names=["grp", "bin", "into", "shift", "fill"]).to_batches(1 << 16)
+            cols = [ids[part], into, offsets, fills[bins]]
+            yield from pa.Table.from_arrays([pa.array(c) for c in cols], names=["bin", "into", "shift", "fill"]).to_batches(1 << 16)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, fan_in: int = FAN_IN, enough: int = ENOUGH, slack: int = SLACK, tables: Tables | None = None) -> DataFrame:
-    """``items`` (``length`` long from 1 to ``capacity``, and any numbers to carry) with
-    ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from 0.
+def pack(items: DataFrame, capacity: int = 2048, fan_in: int = FAN_IN, group: int = GROUP, slack: int = SLACK, tables: Tables | None = None) -> DataFrame:
+    """``items`` (``length`` long from 1 to ``capacity``, and any columns to carry, whatever their
+    names) with ``sequence_id`` and ``offset``, which replace columns of these names: sequences of
+    at most ``capacity``, gapless from 0.
 
     Each row is packed once, whatever it holds (repeated rows, null ids); no rows give no
-    sequences. Row count and order within a group are fixed by the partition and bin
-    numbers, so a task that runs again gives the same bins.
+    sequences. Rows are dealt by a number that is written with them, and order within a group is
+    fixed by the bins' numbers, so a task that runs again gives the same bins.
     """
     tables = tables or Tables(items.sparkSession, "packing")
-    schema = items.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    packed = tables.write(items.mapInArrow(_pack_partition(capacity, len(items.columns)), f"{schema}, bin long, offset long, fill long"), "local")
-    open_bins = packed.where(F.col("fill") < capacity - slack).groupBy("bin").agg(F.first("fill").alias("fill"))
-    level = tables.write(open_bins.select(F.shiftright("bin", 36).alias("grp"), "bin", "fill"), "open-0")
-    maps: list[DataFrame] = []
-    for k in range(1, 40):
-        groups = level.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-        n, most = groups.agg(F.count(F.lit(1)), F.max("n")).first()
-        if n <= 1 or most >= enough:
+    items = items.drop("sequence_id", "offset")
+    names, n_cols = items.columns, len(items.columns)
+    numbered = tables.write(items.toDF(*[f"c{i}" for i in range(n_cols)]).withColumn("n", F.monotonically_increasing_id()), "numbered")
+    n_groups = max(1, -(-numbered.count() // group))
+    dealt = numbered.repartition(n_groups, F.xxhash64("n")).sortWithinPartitions("n")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
+    packed = tables.write(dealt.mapInArrow(_pack_partition(capacity, names.index("length")), f"{kinds}, bin long, at long, fill long"), "local")
+    level = tables.write(packed.where(F.col("fill") < capacity - slack).select("bin", "fill").distinct(), "open-0")
+    open_bins, maps = level.count(), []
+    for k in range(1, 60):
+        if open_bins <= 1 or n_groups == 1:
             break
-        merged = level.withColumn("grp", F.floor(F.col("grp") / fan_in))
-        n_groups = -(-int(level.agg(F.max("grp")).first()[0] + 1) // fan_in)
-        step = tables.write(merged.repartition(n_groups, "grp").mapInArrow(_merge(capacity, k), "grp long, bin long, into long, shift long, fill long"), f"round-{k}")
+        n_groups = max(-(-n_groups // fan_in), -(-open_bins // group))
+        met = level.withColumn("grp", F.pmod(F.xxhash64(F.lit(k), "bin"), F.lit(n_groups)))
+        step = tables.write(met.repartition(n_groups, "grp").mapInArrow(_merge(capacity, k), "bin long, into long, shift long, fill long"), f"round-{k}")
         maps.append(step.select("bin", "into", "shift"))
-        level = tables.write(step.where(F.col("fill") < capacity - slack).groupBy(F.col("into").alias("bin")).agg(F.first("grp").alias("grp"), F.first("fill").alias("fill")).select("grp", "bin", "fill"), f"open-{k}")
-        if n_groups == 1:
+        level = tables.write(step.where(F.col("fill") < capacity - slack).select(F.col("into").alias("bin"), "fill").distinct(), f"open-{k}")
+        made = step.select("into").distinct().count()
+        small = made > open_bins - open_bins / GAIN and n_groups <= -(-open_bins // group)
+        open_bins = level.count()
+        if small:
             break
     total = None
     for step in reversed(maps):  # where each bin of a round ends up, from the last round back
@@ -157,11 +165,12 @@ def pack(items: DataFrame, capacity: int = 2048, fan_in: int = FAN_IN, enough: i
         else:
             up = total.select(F.col("bin").alias("_b"), F.col("into").alias("_i"), F.col("shift").alias("_s"))
             total = step.join(up, F.col("into") == F.col("_b"), "left").select("bin", F.coalesce("_i", "into").alias("into"), (F.col("shift") + F.coalesce("_s", F.lit(0))).alias("shift"))
-    carried = [c for c in packed.columns if c not in ("bin", "offset", "fill")]
+    carried = [f"c{i}" for i in range(n_cols)]
     if total is None:
-        return packed.select(*carried, F.col("bin").alias("sequence_id"), "offset")
-    out = packed.join(total, "bin", "left")
-    return out.select(*carried, F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+        out = packed.select(*carried, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    else:
+        out = packed.join(total, "bin", "left").select(*carried, F.coalesce("into", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return out.toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, fan_in: int = FAN_IN) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components, tidy
+from weftline.llm.common import Tables, components, one_of_equal, text_hash, tidy
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -52,14 +52,16 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row for each input row; fp holds the 64 bits in a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_fingerprints(words)), "doc_id long, fp long")
+    """(doc_id, th, fp): one row for each input row; th is a hash of the text, which tells rows that share
+    an id apart; fp holds the 64 bits in a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash(F.col("text")).alias("th"))
+    return rows.mapInArrow(tidy(_fingerprints(words)), "doc_id long, th long, fp long")
 
 
 def _grow(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -166,21 +168,30 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 3, bucket: i
     """
     tables = Tables(docs.sparkSession, "simhash")
     prints = tables.write(fingerprints(docs, words), "prints")
-    classes = tables.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    ids = _firsts(prints, tables, bits, bucket).select("fp", F.col("first.doc_id").alias("component_id"))
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def _firsts(prints: DataFrame, tables: Tables, bits: int, bucket: int = BUCKET) -> DataFrame:
+    """fp and the first row (doc_id, th; null ids come last) of its component."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = tables.write(prints.groupBy("fp").agg(F.min(order).alias("first")), "classes")
     comp = tables.write(components(links(classes.select("fp"), tables, bits, bucket), tables), "components")
     rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """``docs`` with all its columns, and of each component only the document with the smallest id.
-
-    Rows without an id stay, as no result names them; rows that repeat the kept id stay each.
-    """
-    gone = simhash_components(docs, words, bits).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with all its columns, and one row of each component: the one with the smallest id (of
+    rows that share it, the one whose text has the smallest hash; of equal rows any; rows without an
+    id come last)."""
+    tables = Tables(docs.sparkSession, "simhash")
+    docs = one_of_equal(docs, tables)
+    prints = tables.write(fingerprints(docs, words), "prints")
+    gone = prints.join(_firsts(prints, tables, bits), "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th")
+    d, g = docs.alias("d"), tables.write(gone, "gone").alias("g")
+    return d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (text_hash(F.col("d.text")) == F.col("g.th")), "left_anti")
 
 
 def hex16(fp: Column) -> Column:
