@@ -7,6 +7,8 @@ only the stage at hand. All stages but the last return the columns of ``document
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,40 +16,54 @@ from weftline.llm import common, decontam, linededup, packing, simhash, toxicity
 from weftline.llm.queries import vocabulary
 
 
-def _begin(spark: SparkSession) -> None:
-    """Called by each stage: the stage before is written by now, so what it kept besides goes; and
-    batches to Python stay small next to the memory of an executor."""
-    common.sweep(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Folders of the tables that the last stage's result reads; a stage begins when that is written.
+_read_by_last: list[str] = []
+
+
+def _stage(f):
+    """Once a stage begins, what the stage before kept besides its result goes; no other tables do.
+    Batches to Python stay small next to an executor's memory (``run`` restores the setting)."""
+
+    @functools.wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.sweep(spark, _read_by_last)
+        spark.conf.set(_BATCH, str(common.BATCH_BYTES))
+        with common.collected() as made:
+            out = f(spark, docs, sf_dir)
+        _read_by_last.extend(made)
+        return out
+
+    return stage
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of this data."""
-    _begin(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat or nearly repeat, the first stays; documents left without lines go."""
-    _begin(spark)
     return linededup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+@_stage
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates by SimHash one document stays."""
-    _begin(spark)
     return simhash.one_of_each(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    _begin(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048."""
-    _begin(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -64,11 +80,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{common.shared_dir(spark)}/pipeline-{common.unique()}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, out, sf_dir).write.parquet(path := f"{root}/{k}-{name}")
-        out = spark.read.parquet(path)
-    common.sweep(spark)
+    """All stages over ``documents``; each one's result is written to the shared folder and read again.
+    Results of earlier stages go as soon as the next one is written."""
+    out, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    root, batch = f"{common.shared_dir(spark)}/pipeline-{common.unique()}", spark.conf.get(_BATCH)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, out, sf_dir).write.parquet(path := f"{root}/{k}-{name}")
+            if before:
+                common.delete(spark, before)
+            out, before = spark.read.parquet(path), path
+    finally:
+        spark.conf.set(_BATCH, batch)
+        common.sweep(spark, _read_by_last)
     return out
