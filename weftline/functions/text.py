@@ -20,3 +20,8 @@ def space_tokens(text: Column) -> Column:
 def whitespace_tokens(text: Column) -> Column:
     """Cut at each single white-space character."""
     return F.split(text, WHITESPACE)
+
+
+def line_tokens(text: Column) -> Column:
+    """``lines`` and ``space_tokens`` of each in one pass: a line feed ends a token as a space does."""
+    return F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")

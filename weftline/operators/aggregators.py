@@ -38,14 +38,14 @@ BY_NAME = {x.name: x for x in (SUM, MIN, MAX, PRODUCT, ANY, ALL)}
 class Aggregator:
     """``create(v) -> c``, ``merge_value(c, v) -> c``, ``merge_combiners(c, c) -> c`` over Columns.
 
-    Values are folded in runs of at most ``run`` rows, so a hot key is folded by many
-    tasks and only the combiners of its runs meet in one.
+    Each partition folds its values, some ``run`` rows at a time, before the shuffle, so a
+    hot key is folded by all tasks and only combiners travel.
     """
 
     create: Expr
     merge_value: Callable[[Column, Column], Column]
     merge_combiners: Callable[[Column, Column], Column]
-    run: int = 4096
+    run: int = 1 << 16
 
 
 def fold_list(values: Column, create: Expr, merge: Callable[[Column, Column], Column]) -> Column:

@@ -7,10 +7,12 @@ and filters reach the scan. Opaque Python has to be asked for (``*_py``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
+from decimal import Decimal
 from typing import TYPE_CHECKING, Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +23,47 @@ if TYPE_CHECKING:
     from weftline.operators.pairs import PairDataset
 
 SLICE, POS = "_slice", "_pos"
-ZEROS = {T.StringType: "", T.BooleanType: False, T.DoubleType: 0.0, T.FloatType: 0.0, T.ArrayType: []}
+ZEROS = {T.StringType: "", T.BooleanType: False, T.DoubleType: 0.0, T.FloatType: 0.0, T.DecimalType: Decimal(0), T.BinaryType: b"", T.ArrayType: [], T.MapType: {}}
+EPOCH = datetime(1970, 1, 1)
 
 
 def zero_of(kind: T.DataType) -> Any:
-    """The default of a value type, from which ``reduce`` starts."""
+    """The default of a value type, from which ``reduce`` starts; of a struct, field by field."""
+    if isinstance(kind, T.StructType):
+        return Row(*kind.names)(*[zero_of(f.dataType) for f in kind]) if kind.names else Row()
+    if isinstance(kind, T.DateType):
+        return EPOCH.date()
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return EPOCH
     return ZEROS.get(type(kind), 0)
 
 
+def zero_column(kind: T.DataType) -> Column:
+    """``zero_of`` as a column of that type."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[zero_column(f.dataType).alias(f.name) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map().cast(kind)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_seconds(F.lit(0))
+    return F.lit(zero_of(kind)).cast(kind)
+
+
+def _seq(s: Any) -> list[str]:
+    return [s.apply(i) for i in range(s.size())]
+
+
+def cached_by_host(spark: SparkSession) -> dict[str, dict[str, int]]:
+    """Storage memory of each block manager (host:port): capacity and used, in bytes."""
+    it, out = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().iterator(), {}
+    while it.hasNext():
+        e = it.next()
+        out[e._1()] = {"capacity": e._2()._1(), "used": e._2()._1() - e._2()._2()}
+    return out
+
+
 class Dataset:
     """Rows in ``value``; ``_slice`` and ``_pos`` travel along where the source has a slice layout."""
 
@@ -97,8 +132,14 @@ class Dataset:
         return self
 
     def cache_status(self) -> dict[str, Any]:
+        """How this dataset is kept; and of all that is cached, the memory of each host: capacity and used bytes."""
         level = self.df.storageLevel
-        return {"cached": level.useMemory or level.useDisk, "memory": level.useMemory, "disk": level.useDisk, "replicas": level.replication}
+        return {"cached": level.useMemory or level.useDisk, "memory": level.useMemory, "disk": level.useDisk, "replicas": level.replication, "hosts": cached_by_host(self.df.sparkSession)}
+
+    def cache_locations(self) -> list[list[str]]:
+        """Hosts that hold each partition, as the scheduler prefers them; empty lists where none is kept."""
+        jrdd = self.df._jdf.queryExecution().toRdd()
+        return [list(_seq(jrdd.preferredLocations(p))) for p in jrdd.partitions()]
 
     # -- actions
 
@@ -122,8 +163,7 @@ class Dataset:
     def reduce_expr(self, combiner: aggregators.Algebraic | str, zero: Any = None) -> Column:
         """The fold from ``zero`` (default: the type's default) as one aggregate column."""
         c = aggregators.BY_NAME[combiner] if isinstance(combiner, str) else combiner
-        kind = self.df.schema["value"].dataType
-        start = F.lit(zero_of(kind) if zero is None else zero)
+        start = zero_column(self.df.schema["value"].dataType) if zero is None else F.lit(zero)
         return c.merge(start, F.coalesce(c.aggregate("value"), start))
 
     def reduce(self, f: aggregators.Algebraic | str | Callable[[Any, Any], Any], zero: Any = None) -> Any:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def _merge(acc: dict, it: Iterator[tuple[Any, Any]], first: Callable, then: Call
     return acc
 
 
-def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable, combiner_type: str, num_partitions: int | None) -> DataFrame:
+def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable, combiner_type: str, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Opaque combiners with map-side combine: fold per partition, shuffle the combiners, merge.
 
     Two Arrow passes around one hash exchange. Each pass holds the keys of its own
@@ -54,10 +54,36 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
         return run
 
     partial = df.select("key", "value").mapInArrow(side(create, merge_value), mid)
-    dealt = partial.repartition(num_partitions, "key") if num_partitions else partial.repartition("key")
-    return dealt.mapInArrow(side(lambda c: c, merge_combiners), mid)
+    return deal(partial).mapInArrow(side(lambda c: c, merge_combiners), mid)
 
 
-def grouped_pandas(f: Callable[[pd.Series], Any], returns: str):
-    """A Python aggregate of a whole group (no partial aggregation)."""
-    return F.pandas_udf(f, returns, F.PandasUDFType.GROUPED_AGG)
+def gather_by_key(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """(key, values): each partition's values by key, ``rows`` of them at a time, without a shuffle, so
+    that what combines them can do so before one. Vectorised: keys are numbered, values taken in
+    their order. Keys of nested types aren't gathered: each is a list of its own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType([df.schema["key"], T.StructField("values", T.ArrayType(df.schema["value"].dataType))])
+    key, values = to_arrow_schema(kind)
+    nested = isinstance(df.schema["key"].dataType, (T.StructType, T.ArrayType, T.MapType))
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        keys, vals = t.column(0).combine_chunks(), t.column(1).combine_chunks()
+        codes = np.arange(len(keys)) if nested else keys.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(codes, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(order)].astype(np.int32)), vals.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(order[start])).cast(key.type), lists.cast(values.type)], schema=pa.schema([key, values]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield out(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield out(pa.Table.from_batches(held))
+
+    return df.select("key", "value").mapInArrow(run, kind)

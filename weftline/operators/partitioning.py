@@ -33,6 +33,34 @@ def slice_positions(i: int, size: int, n: int) -> list[int]:
     return own + ([n * q + i] if n * q + i < size else [])
 
 
+class Partitioner:
+    """Says how many reduce partitions there are, and which one a key belongs to (``partition_of``, an
+    int column from 0). Equal partitioners deal equal keys alike."""
+
+    def __init__(self, num_partitions: int):
+        self.num_partitions = check_slices(num_partitions)
+
+    def partition_of(self, key: Column) -> Column:
+        raise NotImplementedError
+
+    def __eq__(self, other: object) -> bool:
+        return type(self) is type(other) and vars(self) == vars(other)
+
+    def __hash__(self) -> int:
+        return hash((type(self), self.num_partitions))
+
+
+class HashPartitioner(Partitioner):
+    """By the key's own value where it is a whole number (non-negative remainder), else by its hash."""
+
+    def __init__(self, num_partitions: int, integral: bool = False):
+        super().__init__(num_partitions)
+        self.integral = integral
+
+    def partition_of(self, key: Column) -> Column:
+        return F.coalesce(F.pmod(key if self.integral else F.xxhash64(key), F.lit(self.num_partitions)).cast("int"), F.lit(0))
+
+
 def bucket(key: Column, n: int) -> Column:
     """Visible reduce bucket of a non-negative integer key."""
     check_slices(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,12 @@ from weftline.operators.dataset import Dataset
 from weftline.operators.pairs import PairDataset
 
 
-def word_count(texts: Dataset, split=text.space_tokens, num_partitions: int | None = None, cache: bool = False) -> PairDataset:
-    """Lines, then tokens, then (token, 1) summed by token."""
-    words = texts.flat_map(text.lines).flat_map(split)
+def word_count(texts: Dataset, split=None, num_partitions: int | None = None, cache: bool = False) -> PairDataset:
+    """Lines, then tokens, then (token, 1) summed by token. Without ``split`` tokens are cut at single
+    spaces, and lines and tokens in one pass; ``cache`` keeps the texts, not the many tokens."""
     if cache:
-        words = words.cache()
+        texts = texts.cache()
+    words = texts.flat_map(text.line_tokens) if split is None else texts.flat_map(text.lines).flat_map(split)
     return words.map_pair(lambda w: w, lambda _: F.lit(1).cast("bigint")).reduce_by_key("sum", num_partitions)
 
 
@@ -34,11 +36,16 @@ def nested_flat_map(data: Dataset) -> PairDataset:
     return twice.map_pair(lambda v: v % 2).reduce_by_key("sum", 2)
 
 
-def monte_carlo_hits(spark: SparkSession, chunks: int, draws: int, num_slices: int = 4) -> DataFrame:
+def monte_carlo_hits(spark: SparkSession, chunks: int, draws: int, num_slices: int = 4, jump: bool = True) -> DataFrame:
     """Hits among ``chunks`` x ``draws`` points. The recurrence depends on a seed only modulo
-    ``lcg.MODULUS``, so seeds are counted by residue first and each residue is walked once."""
+    ``lcg.MODULUS``, so seeds are counted by residue, and hits looked up by residue: walked by
+    doubled jumps over all states, or (``jump=False``) draw by draw from each residue that occurs."""
     seeds = spark.range(0, chunks, 1, num_slices).groupBy((F.col("id") % lcg.MODULUS).alias("seed")).agg(F.count(F.lit(1)).alias("times"))
-    return seeds.agg(F.sum(lcg.hits(F.col("seed"), draws) * F.col("times")).cast("bigint").alias("hits"))
+    if not jump:
+        return seeds.agg(F.sum(lcg.hits(F.col("seed"), draws) * F.col("times")).cast("bigint").alias("hits"))
+    table = pa.table({"seed": pa.array(range(lcg.MODULUS), pa.int64()), "h": lcg.hits_by_state(draws)})
+    hits = F.broadcast(spark.createDataFrame(table))  # 134,456 rows, whatever the data
+    return seeds.join(hits, "seed").agg(F.sum(F.col("h") * F.col("times")).cast("bigint").alias("hits"))
 
 
 def monte_carlo_pi(spark: SparkSession, chunks: int, draws: int, num_slices: int = 4) -> DataFrame:
