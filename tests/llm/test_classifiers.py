@@ -69,7 +69,7 @@ def test_block_max_index_is_exact():
         t = np.sort(rng.choice(60, rng.integers(0, 7), replace=False))
         w = rng.random(len(t)) + 0.1
         vectors.append((t, w / np.sqrt(w @ w) if len(t) else w))
-    index = toxicity.BlockMaxIndex(vectors, 60, block=16)
+    index = toxicity.BlockMaxIndex(vectors, 60, block=16, dense=9)
     dense = np.zeros((700, 60))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
@@ -87,9 +87,9 @@ def test_block_max_index_is_exact():
 
 def test_evidence():
     texts = [("you utter moron", 1), ("what a moron you are", 1), ("a lovely day", 0), ("lovely weather this day", 0)] * 12
-    bags = [toxicity.hashed_counts(t) for t, _ in texts]
-    vocabulary = np.unique(np.concatenate([b[0] for b in bags]))
-    model = toxicity.fit([(i, np.searchsorted(vocabulary, b[0]), b[1], b[2], v) for i, (b, (_, v)) in enumerate(zip(bags, texts, strict=True))], vocabulary, np.ones(len(vocabulary)), {0: 24, 1: 24})
+    vocabulary = sorted({w for t, _ in texts for w in toxicity.word_counts(t)[0]})
+    look = toxicity.Lookup(vocabulary)
+    model = toxicity.fit([(i, *look.counts(t), v) for i, (t, v) in enumerate(texts)], vocabulary, np.ones(len(vocabulary)), {0: 24, 1: 24})
     e = model.evidence("such a moron")
     assert e and all(x["label"] == 1 and "moron" in x["words"] for x in e)
     assert model.score("such a moron") > 0.5 > model.score("lovely")

@@ -22,7 +22,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +35,11 @@ PER_CLASS, NEIGHBOURS, EVIDENCE = 2000, 15, 3
 #: least number of examples with it.
 FLOOR, LEAST_CHI, FULL_CHI, LEAST_DF = 0.05, 15.1, 100.0, 3
 BLOCK = 64
+#: Terms kept as rows of a dense matrix, and texts that share a product with it.
+DENSE, TOGETHER = 128, 32
 #: Blocks scored in the first rounds, which raise the bar for the rest.
 ROUNDS = (2, 8)
-#: Tokens remembered by a worker.
+#: Tokens other than plain words that a worker remembers.
 CACHE = 60_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,58 +48,56 @@ def tokens_of(text: str | None) -> Counter:
     return Counter((text or "").lower().split())
 
 
-def term(word: str) -> int:
-    """A word's number, signed 64 bits."""
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def hashed_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Terms of a text in order, how often each is there, and the number of tokens."""
+def word_counts(text: str | None) -> tuple[list[str], list[int], int]:
+    """Words of a text, how often each is there, and the number of tokens between white space."""
     tokens = tokens_of(text)
     words: Counter = Counter()
     for token, n in tokens.items():
         for w in _LETTERS.findall(token):
             words[w] += n
-    terms = np.fromiter(map(term, words), np.int64, len(words))
-    order = np.argsort(terms)
-    return terms[order], np.fromiter(words.values(), np.int64, len(words))[order], tokens.total()
-
-
-class Lookup(dict):
-    """Places of tokens' words in the vocabulary (sorted terms), remembered."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def learn(self, tokens: list[str]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-        words = [_LETTERS.findall(t) for t in tokens]
-        flat = np.array([term(w) for ws in words for w in ws], np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
-        known = (self.vocabulary[at] == flat).tolist() if len(self.vocabulary) else [False] * len(flat)
-        at, k = at.tolist(), 0
-        for t, ws in zip(tokens, words, strict=True):
-            self[t] = tuple(at[i] for i in range(k, k + len(ws)) if known[i])
-            k += len(ws)
+    return list(words), list(words.values()), tokens.total()
+
+
+class Lookup:
+    """Places of words in the vocabulary; what tokens with other signs hold is remembered."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.place = {w: i for i, w in enumerate(vocabulary)}
+        self.mixed: dict[str, tuple[int, ...]] = {}
+
+    def places(self, token: str) -> tuple[int, ...]:
+        """Of a token that isn't a word of the vocabulary itself."""
+        got = self.mixed.get(token)
+        if got is None:
+            got = tuple(self.place[w] for w in _LETTERS.findall(token) if w in self.place)
+            if len(self.mixed) >= CACHE:
+                self.mixed.clear()
+            self.mixed[token] = got
+        return got
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Like ``hashed_counts``, with places instead of terms and none but those of the vocabulary."""
-        tokens = tokens_of(text)
-        if len(self) > CACHE:
-            self.clear()
-        if new := [t for t in tokens if t not in self]:
-            self.learn(new)
-        out: dict[int, int] = {}
+        """Places of a text's words in order, how often each is there, and the number of tokens."""
+        tokens, get, out = tokens_of(text), self.place.get, {}
         for token, n in tokens.items():
-            for i in self[token]:
+            i = get(token)
+            if i is not None:
                 out[i] = out.get(i, 0) + n
+            elif not token.isalpha():
+                for i in self.places(token):
+                    out[i] = out.get(i, 0) + n
         at = np.fromiter(out, np.int64, len(out))
         order = np.argsort(at)
         return at[order], np.fromiter(out.values(), np.int64, len(out))[order], tokens.total()
 
+    def present(self, text: str | None) -> np.ndarray:
+        """Places of the words that a text has, in no order."""
+        tokens, place = set((text or "").lower().split()), self.place
+        out = {place[t] for t in tokens if t in place}
+        for t in tokens:
+            if not t.isalpha():
+                out.update(self.places(t))
+        return np.fromiter(out, np.int64, len(out))
+
 
 def dependence(bags: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
     """What each term keeps of its weight, by the chi square of its presence and the label."""
@@ -126,23 +125,51 @@ def _ranges(a: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit sparse vectors."""
+    """Exact top-k cosine over unit sparse vectors.
+
+    The terms with the most postings are kept as rows of a dense matrix, whose part of all
+    cosines is one product; the others are an inverted index of runs (a term's postings in
+    one block of examples) with the largest weight of each.
+    """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.n, self.block = len(vectors), block
         terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         ex = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
         w = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        df = np.bincount(terms, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:dense]
+        common = common[df[common] > 0]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        own = self.row[terms]
+        self.dense[own[own >= 0], ex[own >= 0]] = w[own >= 0]
+        terms, ex, w = terms[own < 0], ex[own < 0], w[own < 0]
         order = np.lexsort((ex, terms))
         terms, self.ex, self.w = terms[order], ex[order], w[order]
         run = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (self.ex[1:] // block != self.ex[:-1] // block)]) if len(terms) else np.zeros(0, np.int64)
-        self.run_at = np.r_[run, len(terms)].astype(np.int32)  # postings of one term in one block
+        self.run_at = np.r_[run, len(terms)].astype(np.int32)
         self.run_block = (self.ex[run] // block).astype(np.int32) if len(run) else np.zeros(0, np.int32)
         self.run_max = np.maximum.reduceat(self.w, run) if len(run) else np.zeros(0)
         self.term_at = np.searchsorted(terms[run], np.arange(n_terms + 1)).astype(np.int32) if len(run) else np.zeros(n_terms + 1, np.int32)
-        self.blocks = -(-self.n // block)
+        self.starts = np.arange(0, self.n, block)
         self.scored = 0  # postings read, for tests
 
+    def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to each cosine: a row for each of some vectors."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            q[i, row[row >= 0]] = weights[row >= 0]
+        return q @ self.dense
+
+    def holders(self, term: int) -> np.ndarray:
+        """Examples that have a term."""
+        if self.row[term] >= 0:
+            return np.flatnonzero(self.dense[self.row[term]])
+        return self.ex[self.run_at[self.term_at[term]] : self.run_at[self.term_at[term + 1]]]
+
     def _add(self, scores: np.ndarray, runs: np.ndarray, q: np.ndarray) -> None:
         a = self.run_at[runs]
         n = self.run_at[runs + 1] - a
@@ -150,39 +177,44 @@ class BlockMaxIndex:
         scores += np.bincount(self.ex[at], np.repeat(q, n) * self.w[at], self.n)
         self.scored += len(at)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine (ties: the smaller number first)."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest positive cosine (ties: the smaller number first). ``base``: the
+        vector's row of ``bases``, if it's there already; it is overwritten."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        scores = self.bases([(terms, weights)])[0] if base is None else base
         a = self.term_at[terms]
         n = self.term_at[terms + 1] - a
         runs, q = _ranges(a, n), np.repeat(weights, n)
-        if not len(runs):
-            return np.zeros(0, np.int64), np.zeros(0)
         blocks = self.run_block[runs]
-        bound = np.bincount(blocks, q * self.run_max[runs], self.blocks) * (1 + 1e-9)
-        best, scores, kth = np.argsort(-bound, kind="stable"), np.zeros(self.n), 0.0
-        edges = [0, *np.cumsum([max(ROUNDS[0], -(-k // self.block)), *ROUNDS[1:]]).tolist(), self.blocks]
+
+        def bar() -> float:  # the k-th best so far: no cosine ends below what it is now
+            if leave >= 0:
+                scores[leave] = 0
+            return np.partition(scores, -k)[-k] if k <= self.n else 0.0
+
+        kth = bar()
+        bound = (np.bincount(blocks, q * self.run_max[runs], len(self.starts)) + np.maximum.reduceat(scores, self.starts)) * (1 + 1e-9)
+        best = np.argsort(-bound, kind="stable")
+        edges = [0, *np.cumsum([max(ROUNDS[0], -(-k // self.block)), *ROUNDS[1:]]).tolist(), len(best)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # the most promising blocks, then all that may still reach the k-th
             own = best[lo:hi]
             own = own[(bound[own] >= kth) & (bound[own] > 0)]
             if not len(own):
                 break
-            ask = np.zeros(self.blocks, bool)
+            ask = np.zeros(len(self.starts), bool)
             ask[own] = True
             ask = ask[blocks]
             self._add(scores, runs[ask], q[ask])
-            if leave >= 0:
-                scores[leave] = 0
-            kth = np.partition(scores, -k)[-k] if k <= self.n else 0.0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            found = found[scores[found] >= kth]
+            kth = bar()
+        found = np.flatnonzero((scores > 0) & (scores >= kth))
         found = found[np.lexsort((found, -scores[found]))[:k]]
         return found, scores[found]
 
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # sorted terms
+    vocabulary: list[str]
     idf: np.ndarray  # with what the dependence on the label leaves of it
     index: BlockMaxIndex
     ids: np.ndarray
@@ -201,9 +233,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"look": None}
 
-    def measures(self, t: np.ndarray, w: np.ndarray, norm: float, words: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def measures(self, t: np.ndarray, w: np.ndarray, norm: float, words: int, leave: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the calibration sees, and the neighbours with their cosines."""
-        found, cos = self.index.nearest(t, w, self.k, leave)
+        found, cos = self.index.nearest(t, w, self.k, leave, base)
         near = cos * cos / (1.0001 - np.minimum(cos, 1.0)) ** 0.5
         vote = near * self.vote_weight[found]
         toxic = self.y[found] == 1
@@ -211,29 +243,30 @@ class Model:
         strength = float((cos[toxic].sum() - cos[~toxic].sum()) / self.k)
         return np.array([1.0, share, strength, share * np.log1p(norm), share * norm / np.sqrt(words + 1.0)]), found, cos
 
-    def judge(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """A text's score, its nearest examples and their cosines."""
-        t, n, words = self.lookup().counts(text)
-        w, norm = weigh(t, n, self.idf)
-        if norm:
-            m, found, cos = self.measures(t, w, norm, words)
-            if len(found):
-                return float(sup.sigmoid(m @ self.coef)), found, cos
-        return self.empty, np.zeros(0, np.int64), np.zeros(0)
+    def judge(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Each text's score, its nearest examples and their cosines."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            counted = [self.lookup().counts(t) for t in texts[i : i + TOGETHER]]
+            weighed = [weigh(t, n, self.idf) for t, n, _ in counted]
+            bases = self.index.bases([(c[0], w) for c, (w, _) in zip(counted, weighed, strict=True)])
+            for (t, _, words), (w, norm), base in zip(counted, weighed, bases, strict=True):
+                if norm:
+                    m, found, cos = self.measures(t, w, norm, words, base=base)
+                    if len(found):
+                        out.append((float(sup.sigmoid(m @ self.coef)), found, cos))
+                        continue
+                out.append((self.empty, np.zeros(0, np.int64), np.zeros(0)))
+        return out
 
     def score(self, text: str | None) -> float:
-        return self.judge(text)[0]
+        return self.judge([text])[0][0]
 
     def evidence(self, text: str | None) -> list[dict]:
         """The nearest examples of a text: doc_id, label, cosine and shared words, the heaviest first."""
-        _, found, cos = self.judge(text)
-        look = self.lookup()
-        names = {i: w for token in tokens_of(text) for w, i in zip(_LETTERS.findall(token), look[token], strict=False) if len(look[token]) == len(_LETTERS.findall(token))}
-        out = []
-        for i, c in zip(found.tolist(), cos.tolist(), strict=True):
-            own = [x for x in names if i in self.index.ex[self.index.run_at[self.index.term_at[x]] : self.index.run_at[self.index.term_at[x + 1]]]]
-            out.append({"doc_id": int(self.ids[i]), "label": int(self.y[i]), "cosine": c, "words": [names[x] for x in sorted(own, key=lambda x: -self.idf[x])]})
-        return out
+        _, found, cos = self.judge([text])[0]
+        own = sorted(self.lookup().counts(text)[0].tolist(), key=lambda x: -self.idf[x])
+        return [{"doc_id": int(self.ids[i]), "label": int(self.y[i]), "cosine": c, "words": [self.vocabulary[x] for x in own if i in self.index.holders(x)]} for i, c in zip(found.tolist(), cos.tolist(), strict=True)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -251,7 +284,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return beta
 
 
-def fit(sample: list[tuple[int, np.ndarray, np.ndarray, int, int]], vocabulary: np.ndarray, idf: np.ndarray, class_counts: dict[int, int]) -> Model:
+def fit(sample: list[tuple[int, np.ndarray, np.ndarray, int, int]], vocabulary: list[str], idf: np.ndarray, class_counts: dict[int, int]) -> Model:
     """``sample``: doc_id, places of terms, counts, number of tokens and label of each example."""
     y = np.array([s[4] for s in sample], np.int64)
     if len(y) and y.min() != y.max():
@@ -286,8 +319,8 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray, int, int]], vocabulary:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [hashed_counts(t.as_py()) for t in b.column(1)]
-        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64()), b.column(2)]
+        got = [word_counts(t.as_py()) for t in b.column(1)]
+        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64()), b.column(2)]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "terms", "counts", "words", "y"])
 
 
@@ -299,7 +332,7 @@ def _frequencies(vocabulary_var):
         look, df = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for t in b.column(0):
-                df[look.counts(t.as_py())[0]] += 1
+                df[look.present(t.as_py())] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
@@ -311,7 +344,7 @@ def _score(model_var):
         model = model_var.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for b in batches:
-            got = [model.judge(t.as_py()) for t in b.column(1)]
+            got = model.judge(b.column(1).to_pylist())
             near = [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in zip(model.ids[f[:EVIDENCE]].tolist(), model.y[f[:EVIDENCE]].tolist(), cos[:EVIDENCE].tolist(), strict=True)] for _, f, cos in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "evidence"])
 
@@ -323,10 +356,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
     all documents. The examples' words are counted where the texts are."""
     spark = docs.sparkSession
     rows, counts = sup.labelled_rows(docs, labels, "toxic", parts, part, per_class)
-    got = rows.mapInArrow(tidy(_bags), "doc_id long, terms array<long>, counts array<long>, words long, y int").toArrow().sort_by("doc_id").combine_chunks()
-    lists = lambda c: np.split(got[c].combine_chunks().flatten().to_numpy(), np.cumsum(got[c].combine_chunks().value_lengths().to_numpy())[:-1]) if len(got) else []
-    terms = lists("terms")
-    vocabulary = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.int64)
+    got = rows.mapInArrow(tidy(_bags), "doc_id long, terms array<string>, counts array<long>, words long, y int").toArrow().sort_by("doc_id").combine_chunks()
+    terms, ns = (got[c].combine_chunks() for c in ("terms", "counts"))
+    terms, ns = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (terms, ns))
+    encoded = terms.flatten().dictionary_encode()
+    vocabulary, ends = encoded.dictionary.to_pylist(), np.cumsum(terms.value_lengths().to_numpy())[:-1]
+    lists = [np.split(x.to_numpy().astype(np.int64), ends) for x in (encoded.indices, ns.flatten())] if len(got) else [[], []]
     df = np.zeros(len(vocabulary))
     n_docs = docs.count()
     if len(vocabulary):
@@ -335,7 +370,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
         df[found["term"].to_numpy()] = found["n"].to_numpy()  # one row for each word of the bounded examples
         var.unpersist()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sample = [(d, np.searchsorted(vocabulary, t), n, w, y) for d, t, n, w, y in zip(got["doc_id"].to_pylist(), terms, lists("counts"), got["words"].to_pylist(), got["y"].to_pylist(), strict=True)]
+    sample = list(zip(got["doc_id"].to_pylist(), *lists, got["words"].to_pylist(), got["y"].to_pylist(), strict=True))
     return fit(sample, vocabulary, idf, counts)
 
 
@@ -357,7 +392,7 @@ def _clean(model_var, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
         for b in batches:
-            yield b.filter(pa.array([model.score(t.as_py()) < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([s < 0.5 for s, _, _ in model.judge(b.column(at).to_pylist())], pa.bool_()))
 
     return run
 
