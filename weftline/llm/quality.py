@@ -117,14 +117,22 @@ def _joined(cp: np.ndarray) -> Iterator[tuple[np.ndarray, int | None]]:
         yield r, pair
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each is met."""
     got = []
     for r, pair in _joined(code_points(text)):
         got.append(features(np.concatenate([_END, r, _END]))[0])
         if pair is not None:
             got.append(np.array([pair], np.int64))
-    u, n = np.unique(np.concatenate(got), return_counts=True)
+    return np.unique(np.concatenate(got), return_counts=True)
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their shares."""
+    return shares(*counted(text))
+
+
+def shares(u: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, n / max(1, n.sum())
 
 
@@ -197,9 +205,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, shift: float =
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [bag(t.as_py()) for t in b.column(1)]
-        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), b.column(2)]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "buckets", "shares", "y"])
+        got = [counted(t.as_py()) for t in b.column(1)]
+        lists = [pa.array([g[i].astype(np.int32) for g in got], pa.list_(pa.int32())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *lists, b.column(2)], names=["doc_id", "buckets", "counts", "y"])
 
 
 def _score(model_var):
@@ -222,8 +230,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int
     labels every score is 0.5.
     """
     rows, counts = sup.labelled_rows(docs, labels, "quality", parts, part, per_class)
-    got = rows.mapInArrow(tidy(_bags), "doc_id long, buckets array<long>, shares array<double>, y int").toArrow().sort_by("doc_id")
-    bags = [(u.values.to_numpy(), x.values.to_numpy()) for u, x in zip(got["buckets"], got["shares"], strict=True)]
+    got = rows.mapInArrow(tidy(_bags), "doc_id long, buckets array<int>, counts array<int>, y int").toArrow().sort_by("doc_id")
+    bags = [shares(u.values.to_numpy(), n.values.to_numpy()) for u, n in zip(got["buckets"], got["counts"], strict=True)]
     y = got["y"].to_numpy()
     model = docs.sparkSession.sparkContext.broadcast(fit(bags, y, sup.prior_shift(counts, y) if len(y) else 0.0))
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double")
