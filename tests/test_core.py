@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from weftline import Aggregator, Engine
 from weftline.functions import lcg, text
-from weftline.operators.partitioning import slice_positions
+from weftline.operators import aggregators as agg
+from weftline.operators.partitioning import HashPartitioner, slice_positions
 from weftline.plans import workloads
 
 
@@ -222,3 +223,59 @@ def test_streaming_reduce_by_key(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.key: r.value for r in spark.table("words").collect()} == {"a": 2, "b": 1}
+
+
+def test_triple_combines_before_the_shuffle(spark):
+    triple = agg.Aggregator(lambda v: v, lambda c, v: c + v, lambda a, b: a + b, run=10)
+    pairs = Engine(spark).range(1000, 4).map_pair(lambda v: v % 3)
+    want = sorted((k, sum(range(k, 1000, 3))) for k in range(3))
+    for parts, exchanges in ((None, 2), (3, 2)):
+        out = pairs.combine_by_key(triple, parts)
+        assert sorted(out.collect()) == want
+        plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+        # the fold of each partition's values stands below everything that is dealt
+        assert plan.index("MapInArrow") > plan.rindex("Aggregate")
+        assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") in (exchanges, 2 * exchanges)
+    nested = Engine(spark).range(10, 2).map_pair(lambda v: F.struct((v % 2).alias("a")), lambda v: v).combine_by_key(triple)
+    assert sorted((k.a, v) for k, v in nested.collect()) == [(0, 20), (1, 25)]
+    some = Engine(spark).range(10, 2).map_pair(lambda v: F.when(v % 2 == 0, v % 4), lambda v: v).combine_by_key(triple)
+    assert sorted(some.collect(), key=repr) == sorted([(0, 12), (2, 8), (None, 25)], key=repr)
+
+
+def test_partitioner(spark):
+    by = HashPartitioner(5, integral=True)
+    assert by == HashPartitioner(5, integral=True) and by != HashPartitioner(4, integral=True)
+    pairs = Engine(spark).range(40, 4).map_pair(lambda v: v % 7)
+    triple = agg.Aggregator(lambda v: v, lambda c, v: c + v, lambda a, b: a + b)
+    for out in (pairs.partition_by(by), pairs.combine_by_key(triple, by), pairs.reduce_by_key("sum", by)):
+        assert out.get_num_slices() == 5
+        assert [sorted({k for k, _ in x}) for x in out.run_job(list)] == [[0, 5], [1, 6], [2], [3], [4]]
+
+
+def test_actions_of_pairs(spark):
+    pairs = Engine(spark).range(5, 2).map_pair(lambda v: v % 2).persist()
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+    assert pairs.reduce(add) == (2, 10) == pairs.reduce_strict(add) and pairs.reduce("max") == (1, 3) and pairs.reduce("min") == (0, 0)
+    assert sorted(pairs.iterate()) == sorted(pairs.collect()) and pairs.union(pairs).distinct().count() == 5
+    assert sum(pairs.run_job(lambda it: sum(v for _, v in it))) == 10 and len(pairs.run_job(list, [1])) == 1
+    status = pairs.cache_status()
+    assert status["cached"] and all(h["capacity"] >= h["used"] >= 0 for h in status["hosts"].values())
+    assert len(pairs.cache_locations()) == pairs.get_num_slices()
+    assert not pairs.unpersist().cache_status()["cached"]
+
+
+def test_zeros_of_all_types(spark):
+    of = lambda f: Engine(spark).range(3, 2).map(f)
+    assert of(lambda v: (v + 1).cast("decimal(5,1)")).reduce("min") == 0
+    assert of(lambda v: F.date_from_unix_date(v.cast("int") + 1)).reduce("min").isoformat() == "1970-01-01"
+    assert of(lambda v: F.timestamp_seconds(v + 1)).reduce("min").year == 1970
+    assert of(lambda v: F.encode(v.cast("string"), "utf-8")).reduce("min") == b""
+    assert tuple(of(lambda v: F.struct((v + 1).alias("a"), F.lit("x").alias("b"))).reduce("min")) == (0, "")
+    assert tuple(of(lambda v: F.struct(v.alias("a"), F.lit("x").alias("b"))).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))) == (3, "xxx")
+
+
+def test_jumps_equal_the_walk(spark):
+    for chunks, draws, hits in ((10, 100, 809), (100, 100, 7816), (1000, 1000, 785219)):
+        assert workloads.monte_carlo_hits(spark, chunks, draws).first()[0] == hits
+    assert workloads.monte_carlo_hits(spark, 30, 77, jump=False).first() == workloads.monte_carlo_hits(spark, 30, 77).first()
+    assert not lcg.hits_by_state(0).any()

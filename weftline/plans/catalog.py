@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.engine import Engine
 from weftline.functions import text
 from weftline.operators import aggregators as agg
-from weftline.operators.partitioning import bucket
+from weftline.operators.partitioning import HashPartitioner, bucket
 from weftline.plans import workloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,46 @@ def combine_by_key_opaque(spark, d):
     return out.df.select(F.col("key").alias("l_returnflag"), F.col("value.s").alias("total"), F.col("value.n").alias("n"))
 
 
+_LONGEST = agg.Aggregator(
+    lambda v: F.struct(v.alias("longest"), F.lit(1).cast("bigint").alias("n")),
+    lambda c, v: F.struct(F.greatest(c["longest"], v).alias("longest"), (c["n"] + 1).alias("n")),
+    lambda a, b: F.struct(F.greatest(a["longest"], b["longest"]).alias("longest"), (a["n"] + b["n"]).alias("n")),
+)
+
+
+@_query("SELECT l_suppkey AS suppkey, max(l_extendedprice) AS longest, count(*) AS n FROM lineitem GROUP BY 1")
+def combine_by_key_partitions(spark, d):
+    """The triple with a fixed number of reduce partitions."""
+    rows = _engine(spark).read_parquet(f"{d}/lineitem.parquet")
+    out = rows.map_pair(lambda v: v["l_suppkey"], lambda v: v["l_extendedprice"]).combine_by_key(_LONGEST, 5)
+    return out.df.select(F.col("key").alias("suppkey"), F.col("value.longest").alias("longest"), F.col("value.n").alias("n"))
+
+
+@_query("SELECT (o_custkey % 5)::INTEGER AS partition, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1")
+def partitioner(spark, d):
+    """Rows and keys of each reduce partition that a partitioner says, counted where they lie."""
+    rows = _engine(spark).read_parquet(f"{d}/orders.parquet")
+    dealt = rows.map_pair(lambda v: v["o_custkey"], lambda v: v["o_orderkey"]).partition_by(HashPartitioner(5, integral=True))
+    return dealt.df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@_query("SELECT max(o_custkey) AS custkey, max(o_orderkey) FILTER (o_custkey = top) AS orderkey FROM orders, (SELECT max(o_custkey) AS top FROM orders)")
+def reduce_pairs(spark, d):
+    """The largest pair: a fold of structs from the defaults of key and value."""
+    rows = _engine(spark).read_parquet(f"{d}/orders.parquet")
+    pairs = rows.map_pair(lambda v: v["o_custkey"], lambda v: v["o_orderkey"]).as_dataset()
+    return pairs.df.agg(pairs.reduce_expr("max").alias("r")).select(F.col("r.key").alias("custkey"), F.col("r.value").alias("orderkey"))
+
+
+@_query("SELECT least(0, min(CAST(c_acctbal AS DECIMAL(12, 2))))::DOUBLE AS lowest, DATE '1970-01-01' AS first_day FROM customer")
+def fold_zeros(spark, d):
+    """Minima from the zeros of a decimal and of a date."""
+    rows = _engine(spark).read_parquet(f"{d}/customer.parquet")
+    low = rows.map(lambda v: v["c_acctbal"].cast("decimal(12,2)"))
+    day = rows.map(lambda v: F.date_from_unix_date(v["c_custkey"].cast("int")))
+    return low.df.agg(low.reduce_expr("min").cast("double").alias("lowest")).crossJoin(day.df.agg(day.reduce_expr("min").alias("first_day")))
+
+
 @_query("SELECT n_nationkey AS nation, upper(n_name) AS name FROM nation")
 def map_values(spark, d):
     rows = _engine(spark).read_parquet(f"{d}/nation.parquet")
