@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from weftline.llm import linededup
+from weftline.llm.common import Tables
 
 
 def brute(rows, least=0.8):
@@ -85,10 +86,10 @@ def test_buckets_of_many_lines_are_compared_without_overflow(spark):
     keys = spark.range(n).select(F.col("id").alias("key"))
     buckets = keys.crossJoin(spark.createDataFrame([(0,), (32,)], "band long")).select("band", "key", F.col("key").alias("comp"), F.lit(2).cast("long").alias("n"))
     texts = spark.createDataFrame([(k, f"boilerplate that has another number in each document: {k}") for k in (3, 7)], "key long, text string")
-    got = linededup._edges(buckets, texts, linededup.LEAST, linededup.BUCKET).collect()
+    got = linededup._edges(buckets, texts, linededup.LEAST, linededup.BUCKET, Tables(spark, "edges")).collect()
     assert [sorted((r.a, r.b)) for r in got] == [[3, 7]]
     fewer = buckets.where("band = 0 or key != 5")
-    assert len(linededup._edges(fewer, texts, linededup.LEAST, linededup.BUCKET).collect()) == 2
+    assert len(linededup._edges(fewer, texts, linededup.LEAST, linededup.BUCKET, Tables(spark, "edges")).collect()) == 2
 
 
 def test_rows_that_share_an_id(spark):

@@ -8,8 +8,8 @@ which the first line stays.
 Equal lines are one class from the start (64-bit keys), and only classes that share a
 bucket with another one ever fetch their text. Buckets are verified in two rounds: the
 second one skips buckets whose lines the first has already connected. A bucket grows each
-component from a member, so links are found without making all pairs, and a bucket of
-many lines is cut in blocks, of which every pair is looked at.
+component from a member, so links are found without making all pairs; in a bucket of many
+lines one line is compared with all, and only lines it doesn't reach meet the others.
 """
 
 from __future__ import annotations
@@ -353,20 +353,58 @@ def _verify(least: float):
     return run
 
 
-def _edges(buckets: DataFrame, texts: DataFrame, least: float, bucket: int) -> DataFrame:
-    """Verified links of ``buckets`` (band, key, comp, n); those of many lines are cut in blocks.
+def _reached(least: float):
+    """Which lines are as close to the pivot of their bucket (last two columns: its key and text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots: dict[int, np.ndarray] = {}
+        for b in batches:
+            ok = []
+            for text, pkey, ptext in zip(*[b.column(b.num_columns - i).to_pylist() for i in (3, 2, 1)], strict=True):
+                if (p := pivots.get(pkey)) is None:
+                    if len(pivots) > 64:
+                        pivots.clear()
+                    p = pivots[pkey] = shingles(ptext)
+                s = shingles(text)
+                both = in_common(p, s) if min(len(p), len(s)) >= least * max(len(p), len(s)) else 0
+                ok.append(both >= least * (len(p) + len(s) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], b.column(b.num_columns - 2), pa.array(ok, pa.bool_())], names=["band", "key", "comp", "pcomp", "pkey", "ok"])
+
+    return run
+
+
+def _edges(buckets: DataFrame, texts: DataFrame, least: float, bucket: int, tables: Tables) -> DataFrame:
+    """Verified links of ``buckets`` (band, key, comp, n) that connect what all pairs would.
 
     Near copies meet in most bands, so buckets of the very same lines (equal XORs of two hashes
-    of their keys, which can't overflow as sums do) are verified once.
+    of their keys, which can't overflow as sums do) are verified once. Of a bucket of more than
+    ``bucket`` lines one, the pivot, is compared with all. The lines it reaches are connected, so
+    only pairs with an unreached line are left; these are looked at in blocks.
     """
     sums = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"s{i}") for i in (1, 2)]
     same = buckets.groupBy("band").agg(*sums, F.count(F.lit(1)).alias("m"))
     once = same.groupBy("s1", "s2", "m").agg(F.min("band").alias("band")).select("band")
-    cut = buckets.join(once, "band").withColumn("blocks", F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("long"))
-    placed = cut.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = placed.select("band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "key", "comp").join(texts, "key")
-    rows = dealt.select("band", "i", "j", "key", "comp", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return rows.mapInArrow(tidy(_verify(least)), "a long, b long")
+    kept = tables.write(buckets.join(once, "band"), "kept")
+    none = F.lit(0).cast("long")
+    dealt = kept.where(F.col("n") <= bucket).select("band", none.alias("i"), none.alias("j"), "key", "comp")
+    crowded, links = kept.where(F.col("n") > bucket).select("band", "key", "comp"), None
+    if not crowded.isEmpty():
+        pivot = crowded.groupBy("band").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("key")).alias("p")).select("band", F.col("p.key").alias("pkey"), F.col("p.comp").alias("pcomp"))
+        pivot = pivot.join(texts.select(F.col("key").alias("pkey"), F.col("text").alias("ptext")), "pkey").select("band", "pcomp", "pkey", "ptext")
+        met = crowded.join(texts, "key").join(pivot, "band").select("band", "key", "comp", "pcomp", "text", "pkey", "ptext")
+        near = tables.write(met.mapInArrow(tidy(_reached(least)), "band long, key long, comp long, pcomp long, pkey long, ok boolean"), "near")
+        links = near.where("ok and key != pkey").select(F.col("pkey").alias("a"), F.col("key").alias("b"))
+        near = near.withColumn("ok", F.col("ok") | (F.col("comp") == F.col("pcomp")))
+        many = lambda c: F.ceil(F.sum(c) * 2 / bucket).cast("long")
+        sizes = near.groupBy("band").agg(many(F.when(F.col("ok"), 0).otherwise(1)).alias("far"), many(F.when(F.col("ok"), 1).otherwise(0)).alias("by"))
+        rows = near.join(sizes.where("far > 0"), "band")
+        mine = F.when(F.col("ok"), F.col("far") + F.pmod(F.xxhash64("key"), F.col("by"))).otherwise(F.pmod(F.xxhash64("key"), F.col("far")))
+        others = F.sequence(none, F.when(F.col("ok"), F.col("far")).otherwise(F.col("far") + F.col("by")) - 1)
+        placed = rows.select("band", "key", F.when(F.col("ok"), F.col("pcomp")).otherwise(F.col("comp")).alias("comp"), mine.alias("mine"), F.explode(others).alias("o"))
+        dealt = dealt.unionByName(placed.select("band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "key", "comp"))
+    rows = dealt.join(texts, "key").select("band", "i", "j", "key", "comp", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    found = rows.mapInArrow(tidy(_verify(least)), "a long, b long")
+    return found if links is None else found.unionByName(links)
 
 
 def line_classes(docs: DataFrame, least: float = LEAST, bucket: int = BUCKET, tables: Tables | None = None) -> DataFrame:
@@ -391,11 +429,11 @@ def _classes(docs: DataFrame, least: float, bucket: int, tables: Tables) -> Data
     known = spark.sparkContext.broadcast(key_filter(live))
     lines = tables.write(texts_in.mapInArrow(tidy(_positions(known)), "doc_id long, th long, line_no int, key long, text string"), "lines")
     texts = tables.write(lines.where("text is not null").join(live.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "texts")
-    first = tables.write(_edges(live.where(F.col("b") < FIRST_BANDS).select("band", "key", F.col("key").alias("comp"), "n"), texts, least, bucket), "edges")
+    first = tables.write(_edges(live.where(F.col("b") < FIRST_BANDS).select("band", "key", F.col("key").alias("comp"), "n"), texts, least, bucket, tables), "edges")
     comp = tables.write(components(first, tables), "first")
     later = live.where(F.col("b") >= FIRST_BANDS).join(comp.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("comp"), "n")
     open_ = later.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
-    second = tables.write(_edges(later.join(open_, "band"), texts, least, bucket), "edges")
+    second = tables.write(_edges(later.join(open_, "band"), texts, least, bucket, tables), "edges")
     roots = tables.write(components(first.unionByName(second), tables), "roots").withColumnRenamed("node", "key")
     # places are summed up by line before they are by class, and each join reads written tables, so that
     # a line or a class with many places is split between tasks
