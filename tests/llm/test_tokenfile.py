@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow.fs as pafs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -44,17 +43,47 @@ def test_keyed_access_and_odd_rows(spark, tmp_path):
     out = f"file://{tmp_path}/ids"
     manifest = tokenfile.write_shards(docs, PATH, out, shards=1).collect()
     assert [(m.n_docs, m.shard) for m in manifest if m.n_docs] == [(5, 0)]
-    fs, root = pafs.FileSystem.from_uri(out)
-    shard = tokenfile.Shard(fs, f"{root}/ids-00000")
+    shard = tokenfile.Shards(out, manifest)
     tok = Tokenizer.from_file(PATH)
     ids = lambda t: [*tok.encode(t, add_special_tokens=False).ids, 0]
     assert sorted(d.tolist() for d in shard.documents(7)) == sorted([ids("seven"), ids("again seven")])
     assert [d.tolist() for d in shard.documents(None)] == [ids("none")]
     assert [d.tolist() for d in shard.documents(3)] == [[0]]
-    assert shard.documents(8) == []
+    assert shard.documents(8) == [] and shard.documents(-100) == [] and shard.documents(10**12) == []
     back = tokenfile.round_trip(docs, PATH, 3).collect()
     assert sorted((r.start, r.n_tokens) for r in back)[0][0] == 0
     assert sorted((str(r.doc_id) for r in back)) == sorted(str(r[0]) for r in rows)
     order = [r.doc_id for r in sorted(back, key=lambda r: r.start)]
     assert order == [None, -5, 3, 7, 7]
     assert tokenfile.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_lookups_over_a_set_of_shards(spark, tmp_path, monkeypatch):
+    """Every key through the manifest, in a bounded number of small reads; foreign keys give nothing."""
+    docs = spark.range(600).selectExpr("id * 3 - 300 AS doc_id", "concat('text ', id) AS text")
+    out = f"file://{tmp_path}/ids"
+    manifest = tokenfile.write_shards(docs, PATH, out, shards=5).collect()
+    shards, tok = tokenfile.Shards(out, manifest), Tokenizer.from_file(PATH)
+    for r in docs.collect():
+        assert [d.tolist() for d in shards.documents(r.doc_id)] == [[*tok.encode(r.text, add_special_tokens=False).ids, 0]]
+        assert shards.documents(r.doc_id + 1) == []
+    assert len(shards.open) == len([m for m in manifest if m.n_docs]) > 1
+    assert sum(p.reads for p in shards.open.values()) < 12 * 1200
+    monkeypatch.setattr(tokenfile, "RANGE", 20)
+    fs, root = tokenfile.file_system(out)
+    m = next(m for m in manifest if m.n_docs)
+    whole = tokenfile.Shard(fs, f"{root}/ids-{m.shard:05d}")
+    with fs.open_input_file(f"{whole.stem}.bin") as f:
+        got = [x.tolist() for x in whole.read(f, np.arange(whole.n))]
+    assert got == [shards.documents(int(k))[0].tolist() for k in whole.keys]
+
+
+def test_leftover_keys_are_read_by_place(monkeypatch, tmp_path):
+    monkeypatch.setattr(tokenfile, "LEVELS", 1)
+    keys, offsets = np.arange(-50, 50) * 7, np.arange(101)
+    (tmp_path / "ids-00000.idx").write_bytes(tokenfile.index_bytes(keys, offsets, 2))
+    (tmp_path / "ids-00000.bin").write_bytes(np.arange(100, dtype="<u2").tobytes())
+    fs, root = tokenfile.file_system(f"file://{tmp_path}")
+    places = tokenfile._Places(fs, f"{root}/ids-00000")
+    assert places.n_rest and [places.documents(int(k))[0].tolist() for k in keys] == [[i] for i in range(100)]
+    assert places.documents(3) == []

@@ -15,6 +15,8 @@ system its address names.
 
 from __future__ import annotations
 
+import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +36,8 @@ from weftline.llm.tokens import encoder
 MAGIC, VERSION = b"WEFTIDS1", 1
 HEADER = struct.Struct("<8sIIQQIIQ")
 LEVELS, GAMMA = 24, 2
+#: Bytes of neighbouring documents that one read fetches.
+RANGE = 4 << 20
 NULL_KEY = -(1 << 63)
 END_ID = 0
 
@@ -116,7 +120,7 @@ def index_bytes(keys: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
 
 
 class Shard:
-    """Reads a shard; ``documents(key)`` gives the ids of each document of that key."""
+    """A whole shard's index in memory, to read all of its documents."""
 
     def __init__(self, fs: pafs.FileSystem, stem: str):
         self.fs, self.stem = fs, stem
@@ -151,25 +155,105 @@ class Shard:
         out[~ok] = -1
         return out
 
-    def read(self, f, i: int) -> np.ndarray:
-        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
-        f.seek(a * self.dtype.itemsize)
-        return np.frombuffer(f.read((b - a) * self.dtype.itemsize), self.dtype)
+    def read(self, f, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of documents ``at``, in that order; neighbours come with one read of up to ``RANGE`` bytes."""
+        size, i = self.dtype.itemsize, 0
+        while i < len(at):
+            k = i + 1
+            while k < len(at) and at[k] == at[k - 1] + 1 and (self.offsets[at[k] + 1] - self.offsets[at[i]]) * size <= RANGE:
+                k += 1
+            base = int(self.offsets[at[i]])
+            f.seek(base * size)
+            ids = np.frombuffer(f.read((int(self.offsets[at[k - 1] + 1]) - base) * size), self.dtype)
+            for d in at[i:k].tolist():
+                yield ids[self.offsets[d] - base : self.offsets[d + 1] - base]
+            i = k
+
+
+class _Places:
+    """One shard's files, of which a look-up reads single numbers: a word of bits in a few levels, a
+    rank, a fingerprint, a place, the key there and its offsets. Only the level sizes are kept."""
+
+    def __init__(self, fs: pafs.FileSystem, stem: str):
+        self.idx, self.bin = fs.open_input_file(f"{stem}.idx"), fs.open_input_file(f"{stem}.bin")
+        magic, version, width, self.n, self.n_keys, levels, self.n_rest, _ = HEADER.unpack(self.idx.read_at(HEADER.size, 0))
+        if magic != MAGIC or version != VERSION:
+            raise ValueError(f"{stem}.idx is not a token index")
+        self.dtype, self.reads = np.dtype(f"<u{width}"), 0
+        self.keys = HEADER.size
+        self.offsets = self.keys + 8 * self.n
+        sizes = self.offsets + 8 * (self.n + 1)
+        head = np.frombuffer(self.idx.read_at(8 * levels + 8, sizes), "<i8")
+        self.sizes, self.n_words = head[:-1].tolist(), int(head[-1])
+        self.words = sizes + 8 * levels + 8
+        self.ranks = self.words + 8 * self.n_words
+        self.rest = self.ranks + 8 * self.n_words
+        self.fp = self.rest + 8 * self.n_rest
+        self.first = self.fp + 4 * self.n_keys
+
+    def number(self, kind: str, base: int, i: int) -> int:
+        self.reads += 1
+        width = int(kind[-1])
+        return int(np.frombuffer(self.idx.read_at(width, base + width * i), kind)[0])
+
+    def slot(self, key: int) -> int:
+        u, before = np.array([key], np.int64).view(np.uint64), 0
+        for k, m in enumerate(self.sizes):
+            at = int(mix(u, k)[0] % np.uint64(m))
+            word = self.number("<u8", self.words, before // 64 + at // 64)
+            if word >> (at % 64) & 1:
+                return self.number("<i8", self.ranks, before // 64 + at // 64) + (word & ((1 << at % 64) - 1)).bit_count()
+            before += m
+        lo, hi = 0, self.n_rest  # keys that no level placed, sorted: next to none
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.number("<i8", self.rest, mid) < key else (lo, mid)
+        return self.n_keys - self.n_rest + lo if lo < self.n_rest else -1
+
+    def documents(self, key: int) -> list[np.ndarray]:
+        slot, out = self.slot(key), []
+        if slot < 0 or self.number("<u4", self.fp, slot) != int(prints(np.array([key]))[0]):
+            return out
+        i = self.number("<u4", self.first, slot)
+        while i < self.n and self.number("<i8", self.keys, i) == key:
+            a, b = self.number("<i8", self.offsets, i), self.number("<i8", self.offsets, i + 1)
+            out.append(np.frombuffer(self.bin.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype))
+            i += 1
+        return out
+
+
+class Shards:
+    """Keyed access to a whole set of shards: the manifest says which shard may hold a key."""
+
+    def __init__(self, out: str, manifest: list):
+        """``manifest``: the rows of ``write_shards``, one for each shard."""
+        self.fs, self.root = file_system(out)
+        own = sorted((m.first_key, m.last_key, m.shard) for m in manifest if m.n_docs)
+        self.firsts, self.lasts, self.numbers = ([x[i] for x in own] for i in range(3))
+        self.open: dict[int, _Places] = {}
 
     def documents(self, key: int | None) -> list[np.ndarray]:
-        key = NULL_KEY if key is None else key
-        i, out = int(self.find(np.array([key]))[0]), []
-        with self.fs.open_input_file(f"{self.stem}.bin") as f:
-            while 0 <= i < self.n and self.keys[i] == key:
-                out.append(self.read(f, i))
-                i += 1
+        """The ids of each document of a key (None: of those without an id)."""
+        key, out = NULL_KEY if key is None else key, []
+        i = bisect.bisect_right(self.firsts, key) - 1
+        while i >= 0 and self.lasts[i] >= key:
+            shard = self.numbers[i]
+            if shard not in self.open:
+                self.open[shard] = _Places(self.fs, f"{self.root}/ids-{shard:05d}")
+            out = self.open[shard].documents(key) + out
+            i -= 1
         return out
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address and the path in it; names of S3 that only Hadoop knows are put right."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def _write(path: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        fs, root = pafs.FileSystem.from_uri(out)
+        fs, root = file_system(out)
         stem = f"{root}/ids-{part:05d}"
         own = f"{root}/.{part:05d}-{uuid.uuid4().hex}"
         end = np.array([END_ID], enc.dtype).tobytes()
@@ -205,7 +289,7 @@ def write_shards(docs: DataFrame, path: str, out: str, shards: int | None = None
     (null first) to folder ``out``. Returns the manifest: shard, n_docs, n_tokens, first_key,
     last_key; documents of a repeated doc_id stand together. An empty table gives empty shards.
     """
-    fs, root = pafs.FileSystem.from_uri(out)
+    fs, root = file_system(out)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = shards or max(1, rows.rdd.getNumPartitions())
@@ -215,7 +299,7 @@ def write_shards(docs: DataFrame, path: str, out: str, shards: int | None = None
 
 def _read(out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(out)
+        fs, root = file_system(out)
         for b in batches:
             for part, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = Shard(fs, f"{root}/ids-{part:05d}")
@@ -226,8 +310,8 @@ def _read(out: str):
                 at = at + same
                 crc = np.zeros(s.n, np.int64)
                 with fs.open_input_file(f"{s.stem}.bin") as f:
-                    for i in at.tolist():
-                        crc[i] = zlib.crc32(s.read(f, i).astype("<u4").tobytes())
+                    for i, ids in zip(at.tolist(), s.read(f, at), strict=True):
+                        crc[i] = zlib.crc32(ids.astype("<u4").tobytes())
                 keys = pa.array(s.keys, pa.int64(), mask=s.keys == NULL_KEY)
                 cols = [keys, pa.array(before + s.offsets[at]), pa.array(s.offsets[at + 1] - s.offsets[at]), pa.array(crc[at])]
                 yield from pa.Table.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"]).to_batches(1 << 16)
