@@ -52,6 +52,15 @@ def test_parts(spark):
     assert got[2].formatted == "<turn:user></turn>" and got[2].attachments == []
 
 
+def test_placeholders_and_texts_that_look_like_them(spark):
+    rows = [(1, 0, "user", [("text", "say <image:0>\\", None, None, None, None, None), ("image", None, "i.png", 28, 28, None, None), ("text", "<audio:1>", None, None, None, None, None)]), (1, 1, "assistant", [])]
+    out = formatted(spark, rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    turns = out.select(chat.read_parts(F.col("formatted")).alias("t")).first().t
+    assert [(t.role, [tuple(p) for p in t.parts]) for t in turns] == [("user", [("text", "say <image:0>\\", None), ("image", None, 0), ("text", "<audio:1>", None)]), ("assistant", [])]
+    d = chat.digests(out).first()
+    assert (d.n_attachments, d.attachment_tokens) == (1, 4)
+
+
 def test_ties_nulls_and_no_rows(spark):
     rows = [(None, 1, "user", "b"), (None, 1, "user", "a"), (None, None, None, "z"), (3, 0, "user", "x"), (3, 0, "user", "x")]
     got = {r.conv_id: r for r in formatted(spark, rows).collect()}

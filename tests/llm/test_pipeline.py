@@ -7,7 +7,7 @@ import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_linededup import brute as brute_lines
 from tests.llm.test_simhash import brute_components, brute_print
-from weftline.llm import decontam, linededup, toxicity
+from weftline.llm import decontam, linededup, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,5 +66,30 @@ def test_stages_equal_brute_force(spark):
         assert ends[-1] <= 2048 and [o for o, _ in sorted(s)] == [0, *ends[:-1].tolist()]
 
 
+def test_odd_rows_and_older_results(spark):
+    """Null and empty texts, null and repeated ids; an empty table; and a result made before is still there after."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in docs.orderBy("doc_id").select(COLUMNS).limit(6).collect()]
+    rows = [*some, (some[0][0], "another text with the id of the first one", "en", "x", 1), some[1], (None, "words of no one with an id", None, None, None), (7001, None, None, None, None), (7002, "", "en", None, 0)]
+    older = simhash.simhash_components(docs)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for start in (rows, []):
+        out = spark.createDataFrame(start, docs.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            got = [tuple(r) for r in stage(spark, out, SF).collect()]
+            if name != "best_fit_packing":
+                out = spark.createDataFrame(got, docs.schema)
+        texts = {r.text for r in out.collect()}
+        if start:
+            assert {"another text with the id of the first one", "words of no one with an id"} <= texts and len(got) >= len(texts)
+            assert sum(r.text in (None, "") for r in out.collect()) == 1  # linked like any other
+        else:
+            assert not texts and not got
+    assert older.count() == docs.count()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+    corpus_pipeline.run(spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batch and older.count() == docs.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

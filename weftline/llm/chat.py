@@ -109,13 +109,32 @@ def read_back(formatted: Column) -> Column:
     return F.transform(segs, turn)
 
 
+def read_parts(formatted: Column) -> Column:
+    """Turns (role, parts) parsed from formatted text; parts are texts (type text) and placeholders
+    (type and number of the attachment), so a text that says ``<image:0>`` isn't taken for one."""
+    segs = F.filter(F.split(formatted, CLOSE), lambda s: s != "")
+    none = lambda t: F.lit(None).cast(t)
+
+    def part(p: Column) -> Column:
+        placed = F.struct(F.regexp_extract(p, "^<([a-z]+):", 1).alias("type"), none("string").alias("text"), F.regexp_extract(p, ":([0-9]+)>$", 1).cast("int").alias("number"))
+        return F.when(p.startswith("<"), placed).otherwise(F.struct(F.lit("text").alias("type"), unescape(p).alias("text"), none("int").alias("number")))
+
+    def turn(s: Column) -> Column:
+        head = F.substring_index(s, ">", 1)
+        pieces = F.regexp_extract_all(F.substr(s, F.length(head) + 2), F.lit("<[a-z]+:[0-9]+>|[^<]+"), F.lit(0))
+        return F.struct(unescape_role(F.substr(head, F.lit(len(OPEN) + 1))).alias("role"), F.transform(pieces, part).alias("parts"))
+
+    return F.transform(segs, turn)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what can be read back from formatted conversations and their loss spans."""
+    """Digests of what can be read back from formatted conversations and their loss spans, and the
+    attachments recorded with their expanded tokens."""
     turns = read_back(F.col("formatted"))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    read = formatted.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
-    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    read = formatted.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "attachment_tokens")
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "attachment_tokens")
 
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -138,4 +157,4 @@ SQL = f"""WITH c AS (
     sum(14 + length(replace({_ESC.format('role')}, '>', '\\g')) + length({_ESC.format('text')}))::BIGINT AS formatted_chars
   FROM c GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens FROM g"""
