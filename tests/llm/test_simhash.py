@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import simhash
+from weftline.llm import common, simhash
 from weftline.llm.common import Tables, components
 
 SCHEMA = "doc_id long, text string"
@@ -96,3 +96,33 @@ def test_rows_that_share_an_id(spark):
     got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "a line that repeats itself", "x"), (2, "quite unique content nobody else has", "z"), (None, "words of no one with an id", "n")]))
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    """By the bytes of its file every table here is small enough for Spark to broadcast it, and the slots of
+    fingerprints, 66 for each, too: at 0.51 GB those filled the driver."""
+    plans, write = [], Tables.write
+
+    def noted(self, df, name):
+        if name not in ("forest", "star"):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Tables, "write", noted)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(9))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(20)] + [rows[0], rows[1]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for (d, _), c in zip(rows, brute_components([brute_print(t) for _, t in rows]), strict=True):
+        want.setdefault(c, set()).add(d)
+    for most in (common.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        plans.clear()
+        of = simhash.simhash_components(docs)
+        kept = simhash.one_of_each(docs)
+        assert {r.doc_id: r.component_id for r in of.collect()} == {d: min(ds) for ds in want.values() for d in ds}
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(min(ds) for ds in want.values())
+        plans.append(("result", of._jdf.queryExecution().executedPlan().toString()))
+        assert {"entries", "gone", "result"} <= {n for n, _ in plans}
+        assert [n for n, p in plans if "Broadcast" in p and (most < 0 or n == "entries")] == []

@@ -125,6 +125,16 @@ class Tables:
                 delete(self.spark, path)
 
 
+#: Rows of a table that is broadcast, and that the driver so holds: some MB.
+BROADCAST_ROWS = 1 << 14
+
+
+def counted(table: DataFrame) -> DataFrame:
+    """A written table as the right side of a join: broadcast if it is counted as small, else sorted and
+    merged. Spark's own choice goes by the bytes of files, in which columns that repeat take hardly any."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
@@ -137,7 +147,7 @@ def one_of_equal(docs: DataFrame, tables: Tables, where: Column | None = None) -
     twice = tables.write(keys.where("n > 1").select("id", "th"), "repeats")
     if twice.isEmpty():
         return docs
-    d, t = docs.alias("d"), twice.alias("t")
+    d, t = docs.alias("d"), counted(twice).alias("t")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.id")) & (text_hash(F.col("d.text")) == F.col("t.th"))
     some = d.join(t, on, "left_semi")
     first = some.groupBy(some["doc_id"].alias("_id"), text_hash(some["text"]).alias("_th")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"))

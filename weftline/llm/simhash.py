@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Tables, components, one_of_equal, text_hash, tidy
+from weftline.llm.common import Tables, components, counted, one_of_equal, text_hash, tidy
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -132,6 +132,9 @@ def links(fps: DataFrame, tables: Tables, bits: int = 3, bucket: int = BUCKET) -
     Entries of more than ``bucket`` fingerprints are refined by the bytes of the other
     segment (of which one is equal in every link), then cut in blocks of at most ``bucket``
     rows, and every pair of blocks is one group: no cap, and no group of unbounded size.
+
+    The slots are 66 rows for each fingerprint, but Spark takes them for as many bytes as the
+    fingerprints' file has: left alone it broadcasts them from the driver, so the join is named.
     """
     if not 0 <= bits <= 3:
         raise ValueError("two segments with balls of radius 1 find links of at most 3 bits")
@@ -143,7 +146,7 @@ def links(fps: DataFrame, tables: Tables, bits: int = 3, bucket: int = BUCKET) -
     bit = F.call_function("shiftleft", one, F.col("r").cast("int"))
     keyed = own.where(table | (F.col("own").bitwiseAND(bit) == 0)).select("seg", F.when(table, F.col("own")).otherwise(F.col("own").bitwiseOR(bit)).alias("key"), "fp", table.alias("stored"))
     live = keyed.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"), F.max("stored").alias("stored")).where("n > 1 and stored").drop("stored")
-    cand = tables.write(keyed.join(live, ["seg", "key"]).select("seg", "key", "fp", "n"), "entries")
+    cand = tables.write(keyed.join(live.hint("merge"), ["seg", "key"]).select("seg", "key", "fp", "n"), "entries")
     cold = _linked(cand.where(F.col("n") <= bucket), ["seg", "key"], bits)
     hot = cand.where(F.col("n") > bucket)
     other = _segment(F.col("fp"), 1 - F.col("seg"))
@@ -151,6 +154,7 @@ def links(fps: DataFrame, tables: Tables, bits: int = 3, bucket: int = BUCKET) -
     refined = hot.select("seg", "key", "fp", F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])).alias("sub")).withColumn("byte", byte)
     sub = ["seg", "key", "sub", "byte"]
     sizes = refined.groupBy(*sub).agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket / 2)).alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = counted(tables.write(sizes, "sizes"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     dealt = refined.join(sizes, sub).withColumn("mine", mine).select(*sub, "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     blocks = dealt.select(*sub, "fp", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"))
@@ -169,7 +173,7 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 3, bucket: i
     tables = Tables(docs.sparkSession, "simhash")
     prints = tables.write(fingerprints(docs, words), "prints")
     ids = _firsts(prints, tables, bits, bucket).select("fp", F.col("first.doc_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _firsts(prints: DataFrame, tables: Tables, bits: int, bucket: int = BUCKET) -> DataFrame:
@@ -177,9 +181,9 @@ def _firsts(prints: DataFrame, tables: Tables, bits: int, bucket: int = BUCKET)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = tables.write(prints.groupBy("fp").agg(F.min(order).alias("first")), "classes")
     comp = tables.write(components(links(classes.select("fp"), tables, bits, bucket), tables), "components")
-    rooted = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(counted(comp.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "first")
+    return rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "first")
 
 
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
@@ -189,8 +193,8 @@ def one_of_each(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     tables = Tables(docs.sparkSession, "simhash")
     docs = one_of_equal(docs, tables)
     prints = tables.write(fingerprints(docs, words), "prints")
-    gone = prints.join(_firsts(prints, tables, bits), "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th")
-    d, g = docs.alias("d"), tables.write(gone, "gone").alias("g")
+    gone = prints.join(_firsts(prints, tables, bits).hint("merge"), "fp").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th")
+    d, g = docs.alias("d"), counted(tables.write(gone, "gone")).alias("g")
     return d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (text_hash(F.col("d.text")) == F.col("g.th")), "left_anti")
 
 
