@@ -141,6 +141,17 @@ def test_toxicity_equals_brute_force(spark):
     assert none <= 0.05 * len(rows)
 
 
+def test_fit_of_toxicity_gives_memory_back(spark, monkeypatch):
+    """The driver, which later stages share, keeps 32 bits for each word of an example, and frees the words
+    before the fit and the rest after it."""
+    fit, seen, freed = toxicity.fit, [], []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, *rest: seen.append({x.dtype.itemsize for s in sample for x in s[1:3]}) or fit(sample, *rest))
+    monkeypatch.setattr(toxicity, "release", lambda: freed.append(len(seen)), raising=False)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.drop_toxic(docs, labels).count() < docs.count()
+    assert seen == [{4}] and freed == [0, 1]
+
+
 def test_features_dont_depend_on_neighbours():
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab é\n!𝄞 ") for _ in range(rng.randint(0, 80))) for _ in range(60)] + [None, "", " "]

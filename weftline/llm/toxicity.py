@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import supervised as sup
-from weftline.llm.common import tidy
+from weftline.llm.common import release, tidy
 
 #: Labelled documents of each class that a fit reads, neighbours that vote, neighbours returned.
 PER_CLASS, NEIGHBOURS, EVIDENCE = 2000, 15, 3
@@ -320,7 +320,7 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray, int, int]], vocabulary:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [word_counts(t.as_py()) for t in b.column(1)]
-        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64()), b.column(2)]
+        cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int64()), b.column(2)]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "terms", "counts", "words", "y"])
 
 
@@ -356,12 +356,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
     all documents. The examples' words are counted where the texts are."""
     spark = docs.sparkSession
     rows, counts = sup.labelled_rows(docs, labels, "toxic", parts, part, per_class)
-    got = rows.mapInArrow(tidy(_bags), "doc_id long, terms array<string>, counts array<long>, words long, y int").toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.mapInArrow(tidy(_bags), "doc_id long, terms array<string>, counts array<int>, words long, y int").toArrow().sort_by("doc_id").combine_chunks()
     terms, ns = (got[c].combine_chunks() for c in ("terms", "counts"))
     terms, ns = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (terms, ns))
     encoded = terms.flatten().dictionary_encode()
     vocabulary, ends = encoded.dictionary.to_pylist(), np.cumsum(terms.value_lengths().to_numpy())[:-1]
-    lists = [np.split(x.to_numpy().astype(np.int64), ends) for x in (encoded.indices, ns.flatten())] if len(got) else [[], []]
+    lists = [np.split(x.to_numpy(), ends) for x in (encoded.indices, ns.flatten())] if len(got) else [[], []]  # 32 bits each
+    ids, words, y = (got[c].to_pylist() for c in ("doc_id", "words", "y"))
+    got = terms = encoded = None  # the words of all examples, each as often as it is in a text
+    release()
     df = np.zeros(len(vocabulary))
     n_docs = docs.count()
     if len(vocabulary):
@@ -370,10 +373,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
         df[found["term"].to_numpy()] = found["n"].to_numpy()  # one row for each word of the bounded examples
         var.unpersist()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sample = list(zip(got["doc_id"].to_pylist(), *lists, got["words"].to_pylist(), got["y"].to_pylist(), strict=True))
+    sample = list(zip(ids, *lists, words, y, strict=True))
     return fit(sample, vocabulary, idf, counts)
 
 
+def _sent(docs: DataFrame, labels: DataFrame, parts: int, part: int, per_class: int):
+    """The fitted model as a broadcast; the driver gives back what the fit took."""
+    var = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
+    release()
+    return var
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier toxic), predicted and evidence (the nearest
     ``EVIDENCE`` examples: doc_id, label, cosine) for each row.
@@ -383,7 +393,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, part: in
     learnt from; other columns aren't read. Without labels of both classes all texts score
     alike (0.5 without any).
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
+    model = _sent(docs, labels, parts, part, per_class)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_score(model)), "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
     return scored.select("doc_id", sup.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -399,5 +409,5 @@ def _clean(model_var, at: int):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` with all its columns, without the rows that ``toxicity_scores`` predicts toxic. No shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, parts, part, per_class))
+    model = _sent(docs, labels, parts, part, per_class)
     return docs.mapInArrow(tidy(_clean(model, docs.columns.index("text"))), docs.schema)
