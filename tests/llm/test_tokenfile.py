@@ -1,13 +1,16 @@
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
-from weftline.llm import queries, tokenfile
+from weftline.llm import queries, tokenfile, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -87,3 +90,38 @@ def test_leftover_keys_are_read_by_place(monkeypatch, tmp_path):
     places = tokenfile._Places(fs, f"{root}/ids-00000")
     assert places.n_rest and [places.documents(int(k))[0].tolist() for k in keys] == [[i] for i in range(100)]
     assert places.documents(3) == []
+
+
+_TEXT = st.lists(st.sampled_from([*"abZé.,!*#7 '_-", "\n", "\n\n", "\t", "\r", "\xa0", "\x00", "\x1c", "\u2028", "ﬁ", "漢", "😀", " the", " the.", "\nthe,", "<|endoftext|>", "<|"]), max_size=40).map("".join)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_in_bulk_have_the_library_s_ids(name):
+    enc, tok = tokens.Encoder(public_tokenizers.path(name), 30), Tokenizer.from_file(public_tokenizers.path(name))
+
+    @given(st.lists(st.none() | _TEXT, max_size=12), st.sampled_from([1, 20, 10**6]), st.sampled_from([1, 7, 10**4]))
+    @settings(max_examples=200, deadline=None)
+    def run(texts, bulk, some):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokens, "BULK", bulk)
+            m.setattr(tokens, "SOME", some)
+            got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.many(iter(texts))]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    run()
+
+
+def test_a_word_is_encoded_once_for_a_batch_of_texts(monkeypatch, tmp_path):
+    """More words than the cache holds come again in every text, with and without marks."""
+    words = [f"{a}{b}ra" for a in "bcdfghklmn" for b in "aeiouyäöüé"]
+    texts = [" ".join(w + "." * (k % 2) for w in words) for k in range(30)]
+    seen, word = [], tokens.Encoder.word
+    monkeypatch.setattr(tokens.Encoder, "word", lambda self, w: seen.append(w) or word(self, w))
+    monkeypatch.setattr(tokenfile, "encoder", lambda path, *_: tokens.Encoder(path, 20))
+    monkeypatch.setattr(tokenfile, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = list(tokenfile._write(PATH, f"file://{tmp_path}")(iter([batch])))
+    tok = Tokenizer.from_file(PATH)
+    want = [i for t in texts for i in [*tok.encode(t, add_special_tokens=False).ids, 0]]
+    assert np.fromfile(tmp_path / "ids-00000.bin", "<u2").tolist() == want and rows[0].column(2).to_pylist() == [len(want)]
+    assert len(seen) <= len(words) + 10

@@ -36,6 +36,8 @@ from weftline.llm.tokens import encoder
 MAGIC, VERSION = b"WEFTIDS1", 1
 HEADER = struct.Struct("<8sIIQQIIQ")
 LEVELS, GAMMA = 24, 2
+#: Cached words of a generation: as many as a few bulks of texts hold (without the marks after them).
+WORDS = 240_000
 #: Bytes of neighbouring documents that one read fetches.
 RANGE = 4 << 20
 NULL_KEY = -(1 << 63)
@@ -252,7 +254,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _write(path: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, WORDS), TaskContext.get().partitionId()
         fs, root = file_system(out)
         stem = f"{root}/ids-{part:05d}"
         own = f"{root}/.{part:05d}-{uuid.uuid4().hex}"
@@ -261,8 +263,8 @@ def _write(path: str, out: str):
         with fs.open_output_stream(f"{own}.bin") as f:
             for b in batches:
                 keys += [NULL_KEY if k is None else k for k in b.column(0).to_pylist()]
-                for t in b.column(1):
-                    raw = enc.raw(t.as_py()) + end
+                for ids in enc.many(t.as_py() for t in b.column(1)):
+                    raw = ids + end
                     f.write(raw)
                     sizes.append(len(raw) // enc.dtype.itemsize)
         offsets = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype(np.int64)
