@@ -84,6 +84,23 @@ def test_edges_and_extra_columns(spark):
     assert simhash.simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_components_of_few_edges_by_one_task(spark):
+    """The same by one task and by rounds; a forest of few edges takes no rounds, which the driver has to plan and keep."""
+    rng = np.random.default_rng(5)
+    pairs = [*rng.integers(-300, 300, (250, 2)).tolist(), [-(1 << 63), 7], [(1 << 63) - 1, 7], [400, 400], [7, 7]]
+    for own in (pairs, []):
+        edges, got = spark.createDataFrame(own, "a long, b long").repartition(5), []
+        for args in ({}, {"few": 0}):
+            tables = Tables(spark, "test")
+            got.append(sorted(tuple(r) for r in components(edges, tables, **args).collect()))
+            assert args or tables.n == 1
+        parent = {x: x for p in own for x in p}
+        for _ in parent:
+            for a, b in own:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        assert got[0] == got[1] == sorted((x, r) for x, r in parent.items() if x != 400)
+
+
 def test_components_long_chain(spark):
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")

@@ -191,13 +191,27 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of the edges, which all come to this task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, roots = spanning_forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        top = np.unique(roots)
+        cols = [np.concatenate([nodes, top]), np.concatenate([roots, top])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "root"])
+
+
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` (a, b) with the ``m`` that ``least`` (a, m) has for a."""
     flip = F.bitwise_not("a").alias("_na")
     return edges.select("a", "b", flip).join(least.select(flip, "m"), "_na").select("a", "b", "m")
 
 
-def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
+#: Edges (16 bytes each) that one task makes components of; of more the rounds take care.
+FEW_EDGES = 1 << 19
+
+
+def components(edges: DataFrame, tables: Tables, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of ``edges`` (a, b: longs): (node, root), root the smallest node.
 
     Distributed union-find: partitions first replace their edges by a spanning forest,
@@ -207,9 +221,15 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     gathered in one row; and they are on the complement of its number, which no aggregate
     is dealt by, so both sides are dealt for the join alone and adaptive execution may split
     such a node between tasks. Only nodes that have an edge are returned.
+
+    A round has some ten exchanges, for each of which the driver starts a thread that it keeps for a
+    minute, and the status of each of their tasks: a forest counted as at most ``few`` edges is
+    settled by one task instead, which reads it without any.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     cur = tables.write(e.mapInArrow(tidy(_contract), "a long, b long").distinct(), "forest")
+    if cur.limit(few + 1).count() <= few:
+        return cur.coalesce(1).mapInArrow(tidy(_settle), "node long, root long")
     last = None
     for _ in range(rounds):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
