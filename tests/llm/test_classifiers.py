@@ -85,6 +85,34 @@ def test_block_max_index_is_exact():
     assert index.scored < 0.8 * sum(len(v[0]) for v in vectors) * 200  # blocks were skipped
 
 
+def test_blocks_are_bounded_only_where_it_pays():
+    """Short runs are scored without bounds, long ones by blocks; cosines are the same to the bit."""
+    rng = np.random.default_rng(5)
+
+    def unit(t, w):
+        return np.array(t), np.array(w) / np.linalg.norm(w)
+
+    def pair(vectors, n_terms, **shape):
+        return [toxicity.BlockMaxIndex(vectors, n_terms, **shape, **more) for more in ({}, {"long": 0}, {"long": 1 << 20})]
+
+    def asked(indexes, vectors, k):
+        for i in range(0, len(vectors), 9):
+            for leave in (-1, i):
+                one, *others = [x.nearest(*vectors[i], k, leave) for x in indexes]
+                assert all((one[0] == x[0]).all() and (one[1] == x[1]).all() for x in others)
+
+    rare = [unit(np.sort(rng.choice(400, 6, replace=False)), rng.random(6) + 0.1) for _ in range(900)]
+    indexes = pair(rare, 400, block=16, dense=5)
+    indexes[0].run_max = None  # bounds would read it
+    asked(indexes, rare, 9)
+    assert indexes[0].nearest(np.zeros(0, np.int64), np.zeros(0), 9)[0].size == 0
+
+    near = [unit([c, 10, 11], [3, *rng.random(2) + 0.1]) for c in range(10) for _ in range(64)]
+    indexes = pair(near, 12, block=64, dense=0)
+    asked(indexes, near, 9)
+    assert indexes[0].scored == indexes[1].scored < 0.8 * indexes[2].scored  # blocks were skipped
+
+
 def test_evidence():
     texts = [("you utter moron", 1), ("what a moron you are", 1), ("a lovely day", 0), ("lovely weather this day", 0)] * 12
     vocabulary = sorted({w for t, _ in texts for w in toxicity.word_counts(t)[0]})

@@ -8,16 +8,17 @@ plain TF-IDF cosine. Unweighted, insults of a few words drown in the rest of a d
 
 The nearest examples are found exactly through an inverted index whose terms keep the
 largest weight in each block of examples: blocks that can't reach the k-th best cosine are
-never scored. Votes weighted by distance, with the strength of the match, go through a
-logistic calibration fitted on the examples themselves, each left out in turn. The nearest
-examples are returned as evidence.
+never scored. Where a block holds few examples of a term, as of most words, bounds cost more
+than they save, and a text's terms are scored for all examples. Votes weighted by distance,
+with the strength of the match, go through a logistic calibration fitted on the examples
+themselves, each left out in turn. The nearest examples are returned as evidence.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,8 @@ BLOCK = 64
 DENSE, TOGETHER = 128, 32
 #: Blocks scored in the first rounds, which raise the bar for the rest.
 ROUNDS = (2, 8)
+#: Examples in a run, on average over a text's terms, from which blocks are bounded: a run takes about as long.
+LONG = 16
 #: Tokens other than plain words that a worker remembers.
 CACHE = 60_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -132,8 +135,8 @@ class BlockMaxIndex:
     one block of examples) with the largest weight of each.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = DENSE):
-        self.n, self.block = len(vectors), block
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = DENSE, long: int = LONG):
+        self.n, self.block, self.long = len(vectors), block, long
         terms = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
         ex = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
         w = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
@@ -170,9 +173,9 @@ class BlockMaxIndex:
             return np.flatnonzero(self.dense[self.row[term]])
         return self.ex[self.run_at[self.term_at[term]] : self.run_at[self.term_at[term + 1]]]
 
-    def _add(self, scores: np.ndarray, runs: np.ndarray, q: np.ndarray) -> None:
-        a = self.run_at[runs]
-        n = self.run_at[runs + 1] - a
+    def _add(self, scores: np.ndarray, a: np.ndarray, end: np.ndarray, q: np.ndarray) -> None:
+        """Postings a[i] .. end[i] - 1, whose term weighs q[i]."""
+        n = end - a
         at = _ranges(a, n)
         scores += np.bincount(self.ex[at], np.repeat(q, n) * self.w[at], self.n)
         self.scored += len(at)
@@ -185,15 +188,25 @@ class BlockMaxIndex:
         scores = self.bases([(terms, weights)])[0] if base is None else base
         a = self.term_at[terms]
         n = self.term_at[terms + 1] - a
-        runs, q = _ranges(a, n), np.repeat(weights, n)
-        blocks = self.run_block[runs]
+        first, end = self.run_at[a], self.run_at[a + n]
 
         def bar() -> float:  # the k-th best so far: no cosine ends below what it is now
             if leave >= 0:
                 scores[leave] = 0
             return np.partition(scores, -k)[-k] if k <= self.n else 0.0
 
-        kth = bar()
+        if (end - first).sum() <= self.long * n.sum():
+            self._add(scores, first, end, weights)
+            kth = bar()
+        else:
+            kth = self._rounds(scores, _ranges(a, n), np.repeat(weights, n), k, bar)
+        found = np.flatnonzero((scores > 0) & (scores >= kth))
+        found = found[np.lexsort((found, -scores[found]))[:k]]
+        return found, scores[found]
+
+    def _rounds(self, scores: np.ndarray, runs: np.ndarray, q: np.ndarray, k: int, bar: Callable[[], float]) -> float:
+        """Add what ``runs`` give, in all blocks that may reach the k-th best; the k-th best after that."""
+        blocks, kth = self.run_block[runs], bar()
         bound = (np.bincount(blocks, q * self.run_max[runs], len(self.starts)) + np.maximum.reduceat(scores, self.starts)) * (1 + 1e-9)
         best = np.argsort(-bound, kind="stable")
         edges = [0, *np.cumsum([max(ROUNDS[0], -(-k // self.block)), *ROUNDS[1:]]).tolist(), len(best)]
@@ -205,11 +218,10 @@ class BlockMaxIndex:
             ask = np.zeros(len(self.starts), bool)
             ask[own] = True
             ask = ask[blocks]
-            self._add(scores, runs[ask], q[ask])
+            asked = runs[ask]
+            self._add(scores, self.run_at[asked], self.run_at[asked + 1], q[ask])
             kth = bar()
-        found = np.flatnonzero((scores > 0) & (scores >= kth))
-        found = found[np.lexsort((found, -scores[found]))[:k]]
-        return found, scores[found]
+        return kth
 
 
 @dataclass
