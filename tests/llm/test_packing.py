@@ -1,15 +1,17 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
 from weftline.llm import packing, queries
-from weftline.llm.tokens import Encoder
+from weftline.llm.tokens import Encoder, _Words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -123,3 +125,33 @@ def test_generations_of_cached_words():
 
 #: With tokenizers of their own to compare with.
 ENCODERS = [(Encoder(public_tokenizers.path(n)), Tokenizer.from_file(public_tokenizers.path(n))) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+
+
+def test_pieces_look_a_word_up_once(monkeypatch):
+    """Texts of a batch are encoded together, with the library's ids; a word is looked up once for all its places."""
+    rng = random.Random(6)
+    words = ["stone", "Stone,", "über", "Ünter!", "x1", "don't", "a-b", "…", "日本", "\x1f", "\0", "#!", "stone.stone"]
+    texts = [None, "", " \n ", "word " * 5000, "stone"] + ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\u00a0", ""]) for _ in range(rng.randint(1, 400))) for _ in range(80)]
+    lib, want = Tokenizer.from_file(PATH), []
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
+        for k, start in enumerate(range(0, len(ids), 64)):
+            own = np.array(ids[start : start + 64], "<u4").tobytes()
+            want.append((i, k, start, len(own) // 4, zlib.crc32(own), own))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], names=["doc_id", "text"]) for a, b in ((0, 3), (3, 3), (3, len(texts)))]
+    got = pa.Table.from_batches(list(packing._pieces(PATH, 64, True)(iter(batches))))
+    assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want
+
+    asked = Counter()
+
+    class Counted(_Words):
+        def __getitem__(self, w):
+            asked[w] += 1
+            return super().__getitem__(w)
+
+    enc = Encoder(PATH)
+    enc.words = Counted(enc)
+    monkeypatch.setattr(packing, "encoder", lambda *_: enc)
+    some = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["stone, stone wall", "wall! " * 900, "stone wall."])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._pieces(PATH, 2048, False)(iter([some]))) == 3
+    assert asked["stone"] == asked["wall"] == 1

@@ -27,6 +27,8 @@ FAN_IN = 8
 GROUP, GAIN = 100_000, 2000
 #: Bins with this many free tokens or fewer are closed at once.
 SLACK = 0
+#: Cached words of a generation: as many as a few bulks of texts hold (without the marks after them).
+WORDS = 240_000
 END_ID = 0
 
 
@@ -40,11 +42,11 @@ def cut(ids_raw: bytes, dtype: np.dtype, capacity: int) -> Iterator[tuple[int, i
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, WORDS)
         for b in batches:
             cols: list[list] = [[] for _ in range(6 if with_ids else 5)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for k, start, n, ids in cut(enc.raw(text.as_py()), enc.dtype, capacity):
+            for doc, raw in zip(b.column(0).to_pylist(), enc.many(t.as_py() for t in b.column(1)), strict=True):
+                for k, start, n, ids in cut(raw, enc.dtype, capacity):
                     row = (doc, k, start, n, zlib.crc32(ids), ids)
                     for c, v in zip(cols, row, strict=False):
                         c.append(v)
